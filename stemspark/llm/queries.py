@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontaminate, near, packing, rules, substrings
+from . import binary, decontaminate, html, near, packing, quality, rules, shards, substrings, warc
 from .store import table
 
 #: A document's ids end with this one.
@@ -27,11 +27,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+def sharding_256k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with small shards, so that a small table has many."""
+    return shards.assign(table(spark, sf_dir, "documents"), 1 << 18)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = binary.write(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return binary.read(spark, manifest)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -45,13 +63,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, index).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sharding": op3_sharding,
+    "sharding_256k": sharding_256k,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_binary": op5_token_binary,
+    "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 
@@ -102,6 +130,24 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN least ON x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+#: The bucket of a key is that of the least depth whose bytes fit or which holds one key; 24 bits tell all ids apart.
+_OP3 = r"""
+WITH rows AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS key FROM documents),
+deep AS (SELECT *, unnest(range(0, 25)) AS depth FROM rows),
+cells AS (SELECT doc_id, n_bytes, depth, key >> CAST(60 - depth AS INTEGER) AS shard, key FROM deep),
+sums AS (SELECT *, sum(n_bytes) OVER p AS shard_bytes, count(*) OVER p AS shard_docs, min(key) OVER p AS lo, max(key) OVER p AS hi FROM cells WINDOW p AS (PARTITION BY depth, shard)),
+fits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM sums WHERE shard_bytes <= {limit} OR lo = hi)
+SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, shard, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs, shard_bytes > {limit} AS oversized FROM fits WHERE k = 1
+"""
+
+#: Records of pages: of equal payloads the greatest page_id is the response.
+_OP10 = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS leader FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> leader THEN leader END AS refers_to FROM m
+"""
+
 #: Windows of items as lists of words, joined to the documents' windows of the same length.
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -131,9 +177,12 @@ FROM ws LEFT JOIN lost USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": _OP1,
+    "op3_sharding": _OP3.format(limit=shards.SHARD_BYTES),
+    "sharding_256k": _OP3.format(limit=1 << 18),
     "op7_decontamination": _OP7,
     "op8_substring_dedup": _OP8,
     "op9_quality_rules": _OP9,
+    "op10_warc": _OP10,
 }
 
 
