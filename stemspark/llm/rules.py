@@ -11,7 +11,7 @@ a null id counts as one document of its own; an empty table gives an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,15 +140,57 @@ def frequent_lines(lines: DataFrame, max_docs: int = LINE_DOCS) -> DataFrame:
     return once.groupBy("host", "line").agg(F.sum("one").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", max_docs: int = LINE_DOCS) -> DataFrame:
-    """text_counts with n_line_words (words in lines above the limit) and kept (neither base_failed nor depleted)."""
+def _lost(docs: DataFrame, id_col: str, host_col: str, max_docs: int) -> DataFrame:
+    """doc_id, host, line, w: every document's lines above the limit, and how many words they hold there."""
     lines = kept(line_table(docs, id_col, host_col), "lines")
     common = frequent_lines(lines, max_docs).select("host", "line")
     same = lines.host.eqNullSafe(common.host) & (lines.line == common.line)
-    lost = lines.join(common, same, "left_semi").groupBy("doc_id", "host", "line").agg(F.max("line_words").alias("w"))
-    lost = lost.groupBy(F.col("doc_id").alias("lost_id")).agg(F.sum("w").alias("n_line_words"))
-    counts = text_counts(docs, id_col)
-    out = counts.join(lost, F.col("doc_id") == F.col("lost_id"), "left").drop("lost_id")
+    return lines.join(common, same, "left_semi").groupBy("doc_id", "host", "line").agg(F.max("line_words").alias("w"))
+
+
+def _depleted(lost: Column, n_words: Column) -> Column:
+    return 100 * lost > DEPLETED_PERCENT * n_words
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", max_docs: int = LINE_DOCS) -> DataFrame:
+    """text_counts with n_line_words (words in lines above the limit) and kept (neither base_failed nor depleted)."""
+    lost = _lost(docs, id_col, host_col, max_docs).groupBy(F.col("doc_id").alias("lost_id")).agg(F.sum("w").alias("n_line_words"))
+    out = text_counts(docs, id_col).join(lost, F.col("doc_id") == F.col("lost_id"), "left").drop("lost_id")
     out = out.withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
-    depleted = 100 * F.col("n_line_words") > DEPLETED_PERCENT * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return out.withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("n_line_words"), F.col("n_words")))
+
+
+def _clean_task(names: list[str]) -> Callable:
+    """Texts without the lines whose hashes stand in the column _lines; whether a text passes stands in _kept."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, gone = batch.column(names.index("text")), batch.column(len(names)).to_pylist()
+            out, passed = text.to_pylist(), []
+            for block in W.blocks(text):
+                n_words, _, _, _, repeated = _count(block)
+                found = W.words(block, lower=True)
+                start, end, at = _lines(block)
+                lo, hi = np.searchsorted(found.start, start), np.searchsorted(found.start, end)
+                for k in range(len(n_words)):
+                    row, lost = block.first + k, 0
+                    if gone[row]:
+                        a, b = at[k], at[k + 1]
+                        drop = (hi[a:b] - lo[a:b] >= LINE_WORDS) & np.isin(W.range_hash(found, lo[a:b], hi[a:b]).view(np.int64), gone[row])
+                        lost = int((hi[a:b] - lo[a:b])[drop].sum())
+                        out[row] = b"\n".join(block.data[x:y].tobytes() for x, y, d in zip(start[a:b], end[a:b], drop, strict=True) if not d).decode()
+                    passed.append(bool(n_words[k] >= MIN_WORDS and 100 * repeated[k] <= MAX_REPEAT_PERCENT * n_words[k] and 100 * lost <= DEPLETED_PERCENT * n_words[k]))
+            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(passed, pa.bool_())], names=[*names, "_kept"])
+
+    return task
+
+
+def clean(docs: DataFrame, host_col: str = "source", max_docs: int = LINE_DOCS) -> DataFrame:
+    """The rows of docs (all columns) that pass, without the lines above the limit; n_chars follows the text."""
+    lost = _lost(docs, "doc_id", host_col, max_docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
+    names = docs.columns
+    marked = docs.join(lost, F.col("doc_id") == F.col("_id"), "left").select(*(docs[c] for c in names), "_lines")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = marked.mapInArrow(_clean_task(names), f"{schema}, _kept boolean").where("_kept").drop("_kept")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
