@@ -1 +1 @@
-"""Part of stemspark."""
+"""Four-dimensional scanning electron microscopy data as Spark DataFrames."""
