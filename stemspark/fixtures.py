@@ -62,7 +62,7 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames as they arrive: events of several data sets, each of which covers a part of the scan."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("dataset_id"), F.col("event_id").cast("long").alias("frame_idx"), "ts", (F.col("user_id") % 16).cast("int").alias("channel"), F.round(F.col("value") * 100).cast("long").alias("count")
+        F.col("event_type").alias("dataset_id"), F.col("event_id").cast("long").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 16).cast("int").alias("channel"), F.round(F.col("value") * 100).cast("long").alias("count")
     )
 
 

@@ -13,9 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.let import let
 from ..functions.scalar import poly_terms
-from ..schemas import SHIFTS
+from ..schemas import PIXEL_IMAGES, SHIFTS
 from .spectral import by_shape, lists, matrices
 
 _AT = ["dataset_id", "det_y", "det_x"]
@@ -31,30 +30,27 @@ def gauss_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(k - r, x / sum(w)) for k, x in enumerate(w)]
 
 
-def _reflected(k: Column, n: Column) -> Column:
-    """Index k of an axis of n places whose ends are mirrored with the end place repeated."""
-    m = F.pmod(k, 2 * n)
-    return F.when(m < n, m).otherwise(2 * n - 1 - m)
+def _smooth_task(sigma: float, truncate_int: bool) -> Callable:
+    kernel = gauss_kernel(sigma)
+    r = len(kernel) // 2
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, h, w in by_shape(batch, 3, 4):
+                v = matrices(part.column(5)).astype(float).reshape(-1, h, w)
+                wide = np.pad(v, ((0, 0), (r, r), (0, 0)), "symmetric")  # mirrored ends, the end place repeated
+                v = sum(weight * wide[:, d + r : d + r + h] for d, weight in kernel)
+                wide = np.pad(v, ((0, 0), (0, 0), (r, r)), "symmetric")
+                v = sum(weight * wide[:, :, d + r : d + r + w] for d, weight in kernel)
+                v = np.floor(v) if truncate_int else v
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], lists(v.reshape(len(part), -1))], names=[*_AT, "scan_h", "scan_w", "img"])
+
+    return task
 
 
 def gaussian_smooth(images: DataFrame, sigma: float = 0.5, truncate_int: bool = False) -> DataFrame:
     """Images smoothed along both axes, in doubles; truncate_int cuts the results to whole numbers."""
-    kernel, h, w = gauss_kernel(sigma), F.col("scan_h"), F.col("scan_w")
-
-    def along(values: Column, vertical: bool) -> Column:
-        def at(k: Column) -> Column:
-            y, x = F.floor(k / w).cast("int"), (k % w).cast("int")
-            parts = []
-            for d, weight in kernel:
-                yy, xx = (_reflected(y + d, h), x) if vertical else (y, _reflected(x + d, w))
-                parts.append(weight * F.get(values, (yy * w + xx).cast("int")))
-            return sum(parts[1:], parts[0])
-
-        return F.transform(F.sequence(F.lit(0), h * w - 1), at)
-
-    smooth = let(F.transform("img", lambda v: v.cast("double")), lambda a: let(along(a, True), lambda b: along(b, False)))
-    out = images.withColumn("img", smooth)
-    return out.withColumn("img", F.transform("img", lambda v: F.floor(v).cast("double"))) if truncate_int else out
+    return images.select(*_AT, "scan_h", "scan_w", "img").mapInArrow(_smooth_task(sigma, truncate_int), PIXEL_IMAGES)
 
 
 def centre_reference(images: DataFrame, sigma: float = 0.5) -> DataFrame:

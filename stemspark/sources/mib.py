@@ -48,7 +48,7 @@ class Header:
 
 def parse_header(raw: bytes) -> Header:
     """The fields of a header; an error says what is wrong with it. A rectangular detector has its energy axis last."""
-    fields = raw[:384].decode("utf-8", "replace").split(",")
+    fields = raw[:384].decode("utf-8", "replace").replace("\0", "").split(",")
     if len(fields) <= FIELD_PIXEL:
         raise ValueError("too few header fields")
     pixel = fields[FIELD_PIXEL].strip()
