@@ -172,7 +172,7 @@ def _residual(some: _Members, open_: np.ndarray, all_: _Members, same: bool) ->
 
     if same:  # what is linked with the pivot is one component
         rest = np.flatnonzero(~open_)
-        for k in rest[1:]:
+        for k in rest:
             root[int(some.id[k])] = int(some.id[rest[0]])
     out, reach = [], 1 - LINK / 100 + 1e-9
     done = np.zeros(len(all_.id), bool)
