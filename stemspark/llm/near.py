@@ -124,14 +124,37 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketch_task, "doc_id long, n long, one long, two long, regs binary, bands array<long>")
 
 
+def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    import zstandard
+
+    for batch in batches:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        text = [zip_.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary())], names=["doc_id", "packed"])
+
+
 def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a compressed text, with its registers and set instead."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
     for batch in batches:
-        regs, sets = [], []
-        for block in W.blocks(batch.column(1)):
-            for s in shingle_sets(block):
-                sets.append(s.tobytes())
-                regs.append(registers(s).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "regs", "shingles"])
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            texts = pa.array([unzip.decompress(x).decode() for x in part.columns[-1].to_pylist()], pa.string())
+            sets = [s for block in W.blocks(texts) for s in shingle_sets(block)]
+            regs = pa.array([registers(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], regs, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*part.schema.names[:-1], "regs", "shingles"])
+
+
+def _with_sets(rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """rows (with doc_id) with registers and sets of their documents, computed after the join from the whole texts.
+
+    The join is merged at every size: what it moves is the texts, whichever side is the smaller."""
+    named = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    joined = rows.join(packed.hint("merge"), "doc_id").select(*rows.columns, "packed")
+    return joined.mapInArrow(_set_task, f"{named}, regs binary, shingles binary")
 
 
 class _Members:
@@ -260,23 +283,21 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     keyed = known.where("n > 0").select("doc_id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot")).where("size > 1").select("key", "pivot")
     pairs = kept(keyed.join(buckets, "key").where("doc_id <> pivot").select("doc_id", "pivot").distinct(), "pairs")
-    involved = pairs.select("doc_id").union(pairs.select("pivot")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi")
-    sets = kept(texts.mapInArrow(_set_task, "doc_id long, regs binary, shingles binary"), "sets")
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack_task, "doc_id long, packed binary")
     weight = known.select("doc_id", F.col("n").alias("weight"))
     groups = pairs.join(weight, "doc_id").groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     groups = groups.select("pivot", blocks.alias("blocks"))
     members = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks", "doc_id")
     heads = groups.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.col("pivot").alias("doc_id"))
-    rows = members.unionByName(heads).join(sets, "doc_id").select("pivot", "block", "blocks", "doc_id", "regs", "shingles")
+    rows = _with_sets(members.unionByName(heads), packed)
     dealt = rows.repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block")
     found = kept(dealt.mapInArrow(_group_task, _OUT), "links")
     sure = found.where("far is null").select("a", "b")
-    return sure.unionByName(_cross(found.where("far is not null"), groups, sets, n))
+    return sure.unionByName(_cross(found.where("far is not null"), groups, packed, n))
 
 
-def _cross(open_: DataFrame, groups: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+def _cross(open_: DataFrame, groups: DataFrame, packed: DataFrame, n: int) -> DataFrame:
     """Links across the blocks of the groups that have several: members not linked with the pivot ask, in pairs of blocks."""
     reach = 1 - LINK / 100
     rows = open_.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "far").join(groups.where("blocks > 1"), "pivot")
@@ -287,7 +308,7 @@ def _cross(open_: DataFrame, groups: DataFrame, sets: DataFrame, n: int) -> Data
     left = asking.withColumn("other", every).where("block <> other").select("pivot", "block", "other", F.lit(True).alias("asks"), "doc_id", "far")
     right = rows.join(least, "pivot").where(F.col("far") >= F.col("least") - reach - 1e-9).withColumnRenamed("block", "other")
     right = right.withColumn("block", every).where("block <> other").select("pivot", "block", "other", F.lit(False).alias("asks"), "doc_id", "far")
-    rows = left.unionByName(right).join(sets, "doc_id").select("pivot", "block", "other", "asks", "doc_id", "regs", "shingles", "far")
+    rows = _with_sets(left.unionByName(right), packed).select("pivot", "block", "other", "asks", "doc_id", "regs", "shingles", "far")
     return rows.repartition(n, "pivot", "block", "other").sortWithinPartitions("pivot", "block", "other").mapInArrow(_cross_task, _OUT).select("a", "b")
 
 
