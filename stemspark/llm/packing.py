@@ -239,8 +239,8 @@ def _place_task(rows: list[tuple[int, int, int, int]]) -> Callable:
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    value, first = np.unique(x, return_index=True)
-    return value, first, np.append(first[1:], len(x))
+    value, first, n = np.unique(x, return_index=True, return_counts=True)
+    return value, first, first + n
 
 
 def places(classes: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int]]:
