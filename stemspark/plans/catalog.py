@@ -918,14 +918,14 @@ def fit_moments(spark, sf):
 def fit_distortion(spark, sf):
     """A plane through the shifts by unweighted least squares, which SQL gives in closed form."""
     shifts = align.center_shifts(_shift_fixture(spark, sf), *_size(spark, sf))
-    return _round(align.fit_distortion(shifts, 1, 3.5, 3.5).drop("dataset_id"), "coef_y", "coef_x", digits=4)
+    return _round(align.fit_distortion(shifts, 1, 3.5, 3.5).drop("dataset_id"), "coef_y", "coef_x", digits=8)
 
 
 @query
 def distortion_residuals(spark, sf):
     shifts = align.center_shifts(_shift_fixture(spark, sf), *_size(spark, sf))
     out = align.distortion_residuals(shifts, align.fit_distortion(shifts, 1, 3.5, 3.5), 1, 3.5, 3.5)
-    return _round(out.select("det_y", "det_x", "ry", "rx"), "ry", "rx", digits=4)
+    return _round(out.select("det_y", "det_x", "ry", "rx"), "ry", "rx", digits=8)
 
 
 @query

@@ -318,8 +318,8 @@ SQL: dict[str, str] = {
     "center_shifts": _with(_SHIFTS, "SELECT det_y, det_x, shift_y, shift_x FROM ce"),
     "center_shifts_on_pixel": _with(_SHIFTS, "SELECT a.det_y, a.det_x, a.shift_y - b.shift_y AS shift_y, a.shift_x - b.shift_x AS shift_x FROM sf a, (SELECT shift_y, shift_x FROM sf WHERE det_y = 4 AND det_x = 4) b"),
     "fit_moments": _with(_SHIFTS, f"SELECT {_MOMENTS} FROM (SELECT *, det_y - 4.0::DOUBLE AS u, det_x - 4.0::DOUBLE AS v, quality + 1e-12 AS w FROM ce)"),
-    "fit_distortion": _with(_PLANE, f"SELECT CAST(0 AS INTEGER) AS term, {_r('ay', 'coef_y', 4)}, {_r('ax', 'coef_x', 4)} FROM pl UNION ALL SELECT 1, {_r('uy', 'coef_y', 4)}, {_r('ux', 'coef_x', 4)} FROM pl UNION ALL SELECT 2, {_r('vy', 'coef_y', 4)}, {_r('vx_', 'coef_x', 4)} FROM pl"),
-    "distortion_residuals": _with(_PLANE, f"SELECT det_y, det_x, {_r('shift_y - ay - uy * (det_y - 3.5) - vy * (det_x - 3.5)', 'ry', 4)}, {_r('shift_x - ax - ux * (det_y - 3.5) - vx_ * (det_x - 3.5)', 'rx', 4)} FROM ce, pl"),
+    "fit_distortion": _with(_PLANE, f"SELECT CAST(0 AS INTEGER) AS term, {_r('ay', 'coef_y', 8)}, {_r('ax', 'coef_x', 8)} FROM pl UNION ALL SELECT 1, {_r('uy', 'coef_y', 8)}, {_r('ux', 'coef_x', 8)} FROM pl UNION ALL SELECT 2, {_r('vy', 'coef_y', 8)}, {_r('vx_', 'coef_x', 8)} FROM pl"),
+    "distortion_residuals": _with(_PLANE, f"SELECT det_y, det_x, {_r('shift_y - ay - uy * (det_y - 3.5) - vy * (det_x - 3.5)', 'ry', 8)}, {_r('shift_x - ax - ux * (det_y - 3.5) - vx_ * (det_x - 3.5)', 'rx', 8)} FROM ce, pl"),
     "reconstruct_superres": _with(_SHIFTS + "," + _superres("sf", 0.3) % 6, "SELECT y, x, value, n FROM sr"),
     "contribution_map": _with(_SHIFTS + "," + _superres("sf", 0.3) % 6, "SELECT y, x, n AS value FROM sr"),
     "superres_pipeline": _with(_CORR + "," + _superres("sq", 0.01) % 4, "SELECT y, x, value, n FROM sr"),
