@@ -101,27 +101,26 @@ def estimate(x: np.ndarray, n_x: float, y: np.ndarray, n_y: np.ndarray) -> np.nd
 def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band = np.arange(BANDS, dtype=W.U64) * W.U64(0x9E3779B97F4A7C15)
     for batch in batches:
-        n, one, two, regs, keys = [], [], [], [], []
+        n, one, two, keys = [], [], [], []
         for block in W.blocks(batch.column(1)):
             for s in shingle_sets(block):
                 r = registers(s)
                 n.append(len(s))
                 one.append(W.mix(s, 1).sum(dtype=W.U64))
                 two.append(W.mix(s, 2).sum(dtype=W.U64))
-                regs.append(r.tobytes())
                 keys.append(W.mix(W.mix(r.view(W.U64).copy(), 3) + band))
         flat = np.concatenate(keys) if keys else np.zeros(0, W.U64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(flat.view(np.int64)))
         as_long = lambda x: pa.array(np.array(x, W.U64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(regs, pa.binary()), lists], names=["doc_id", "n", "one", "two", "regs", "bands"]
+            [batch.column(0), pa.array(n, pa.int64()), as_long(one), as_long(two), lists], names=["doc_id", "n", "one", "two", "bands"]
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), one and two (fingerprint of the set), regs, bands (a key for each band)."""
+    """doc_id, n (set size), one and two (fingerprint of the set), bands (a key for each band of its registers)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_sketch_task, "doc_id long, n long, one long, two long, regs binary, bands array<long>")
+    return rows.mapInArrow(_sketch_task, "doc_id long, n long, one long, two long, bands array<long>")
 
 
 def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
