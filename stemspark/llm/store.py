@@ -28,6 +28,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder once nothing reads it any more; it's no error if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
