@@ -18,7 +18,7 @@ from . import words as W
 
 #: Most units whose ids a worker keeps; beyond it, it starts anew.
 CACHE_UNITS = 1_500_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 LETTER, DIGIT, SPACE, OTHER = range(4)
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -158,7 +158,9 @@ class Encoder:
             unit, where, back = np.unique(key, return_index=True, return_inverse=True)
             if len(self.key) + len(unit) > CACHE_UNITS:
                 self._reset()
-            new = ~np.isin(unit, self.key, assume_unique=True)
+            place = np.searchsorted(self.key, unit)
+            new = np.append(self.key, W.U64(0))[place] != unit
+            new |= place == len(self.key)
             if new.any():
                 w = where[new]
                 self._learn(block, unit[new], at[w], end[w], whole[w])
