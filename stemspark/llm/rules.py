@@ -4,8 +4,8 @@ Cross-document line frequency: lines are normalised (ASCII letters made small, w
 hashed; for each host the distinct documents that hold a line are counted; lines above the limit are removed; a
 document that loses too much is rejected.
 
-Copies of one text are no evidence that its lines are boilerplate: documents whose least other line (by hash) is the
-same count as one, and these must be more than half as many as all documents that hold the line.
+Copies of one text are no evidence that its lines are boilerplate: documents whose whole texts have the same words (in
+small letters, by a hash of 64 bits) count as one. Texts that differ anywhere are distinct, whatever lines they share.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null hosts are one host;
 a row repeated in the input is judged as often as it stands there and counts once as a document (by its id);
@@ -122,34 +122,30 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
             where = np.flatnonzero(new)
             h, row, n = h[where], row[where], np.add.reduceat(n, where)
-            head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])  # a row's lines stand in the order of their hashes
-            size = np.diff(np.append(head, len(row)))
-            least = np.repeat(h[head], size)
-            second = np.repeat(np.where(size > 1, h[np.minimum(head + 1, len(h) - 1)], W.U64(0)), size)
-            other = np.where(h == least, second, least)
+            whole = W.range_hash(found, found.at[:-1], found.at[1:])[row - block.first]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in others] + [pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(other.view(np.int64))],
-                names=[batch.schema.names[k] for k in others] + ["line", "line_words", "other"],
+                [batch.column(k).take(take) for k in others] + [pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(whole.view(np.int64))],
+                names=[batch.schema.names[k] for k in others] + ["line", "line_words", "whole"],
             )
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
-    """doc_id, host, line (hash of a normalised line), line_words (words of all its places in that document), other (the
-    least hash of the document's other lines, 0 if it has none)."""
+    """doc_id, host, line (hash of a normalised line), line_words (words of all its places in that document), whole
+    (hash of the words of the whole text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), "text")
-    return rows.mapInArrow(_line_rows, "doc_id long, host string, line long, line_words long, other long")
+    return rows.mapInArrow(_line_rows, "doc_id long, host string, line long, line_words long, whole long")
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = LINE_DOCS) -> DataFrame:
-    """host, line, n_docs, n_kinds of the lines that more distinct documents of the host hold than max_docs.
-
-    Rows of one id are one document; documents of one `other` are one kind. Each step sums before its shuffle, so no
-    task gathers all rows of a common line."""
-    once = lines.groupBy("host", "line", "doc_id").agg(F.min("other").alias("other"))
-    kinds = once.groupBy("host", "line", "other").agg(F.count(F.lit(1)).alias("n"))
-    counted = kinds.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_kinds"))
-    return counted.where((F.col("n_kinds") > max_docs) & (2 * F.col("n_kinds") > F.col("n_docs")))
+    """host, line, n_docs, n_texts of the lines that more distinct texts of the host hold than max_docs.
+
+    Rows of one id are one document; documents of one text are one. Each step sums before its shuffle, so no task
+    gathers all rows of a common line."""
+    once = lines.groupBy("host", "line", "doc_id").agg(F.min("whole").alias("whole"))
+    texts = once.groupBy("host", "line", "whole").agg(F.count(F.lit(1)).alias("n"))
+    counted = texts.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
+    return counted.where(F.col("n_texts") > max_docs)
 
 
 def _lost(docs: DataFrame, id_col: str, host_col: str, max_docs: int) -> DataFrame:
