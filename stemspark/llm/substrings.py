@@ -223,8 +223,10 @@ def dedup_batch(index: Index, docs: DataFrame, history: DataFrame | None = None,
 
     A word goes if a window that covers it starts earlier too: in a document of `history` (those added before, whose
     ids must be smaller) or in docs, by smaller doc_id or earlier start. history is read only for the documents
-    whose passages the batch may repeat.
+    whose passages the batch may repeat; an index that has runs isn't enough without it.
     """
+    if index.runs and history is None:
+        raise ValueError("the index has runs: their documents' texts are needed as history")
     rows, old = index.add(docs)
     marks = rows.mapInArrow(_mark_task, "doc_id long, place int, single boolean")
     marks = marks.groupBy(F.col("doc_id").alias("marked")).agg(F.collect_list(F.struct("place", "single")).alias("marks"))
