@@ -6,13 +6,19 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests on one machine, one under the temp folder."""
+    """The folder of spark.checkpoint.dir. Where it is unset, one under the temp folder, on a single machine only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them reach")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -20,12 +26,30 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: later steps don't repeat it, lost executors don't undo it."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: later steps don't repeat it, lost executors don't undo it.
+
+    It stays, as a result that is still to be read needs it; what only the steps before need goes to a Scratch."""
+    return _written(df, fresh(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one job in a folder of their own, which go together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self._n = spark, fresh(spark, name), 0
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        return _written(df, f"{self.folder}/{self._n:04d}-{name}")
+
+    def drop(self) -> None:
+        drop(self.spark, self.folder)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -41,3 +65,11 @@ def parts(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long_id(df: DataFrame, name: str = "doc_id") -> Column:
+    """An id column as a 64-bit integer; ids of another kind are refused, not made null."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
+    return df[name].cast("long")

@@ -83,7 +83,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.types.is_large_string(column.type)
-    column = column.fill_null("") if column.null_count else column
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) else "") if column.null_count else column
     n = len(column)
     if not n:
         return
