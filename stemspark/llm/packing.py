@@ -1,16 +1,18 @@
 """Best-fit packing of token sequences by linear grouping.
 
-Large lengths are sorted, cut into groups of equal cardinality and rounded up to the longest of the group; how many
-bins of each configuration of these few sizes are needed is a linear programme, solved by column generation; the
-documents take the places of their groups; bins that rounding leaves too empty are taken apart again; their lengths,
-what the whole numbers of bins leave over and the small lengths go where they fit best.
+Large lengths are sorted, cut into GROUPS groups of equal cardinality and rounded up to the longest of the group; how
+many bins of each configuration of these few sizes are needed is a linear programme, solved by column generation;
+the documents take the places of their groups, longest with longest, and these bins stay as they are. What the whole
+numbers of bins leave over and then the small lengths go where they fit best: into the room that rounding left in the
+bins of configurations, and into bins of their own.
 
 All of this works on counts: at most `capacity` lengths go to the driver, and what comes back is a list of classes
 of equal bins whose size depends on the capacity alone. Documents find their places by their rank among the pieces
 of equal length.
 
 Defined results: a null or empty text is its end id alone; rows of one doc_id are packed each by itself; null ids
-of documents are kept as null; an empty table gives no rows; other columns don't matter.
+of documents are kept as null; ids that are no integers are refused; an empty table gives no rows; other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -25,15 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import kept, parts
+from .store import kept, long_id, parts
 from .tokens import BLOCK_BYTES, encoder
 
 CAPACITY = 1024
-GROUPS = 64
+#: Rounding costs at most (1 - SMALL) / GROUPS of the large pieces' bins; small pieces fill much of that room.
+GROUPS = 256
 #: A length of at most this share of the capacity is small.
 SMALL = 1 / 8
-#: Room that a bin of large lengths may keep; each is tried and the one with the fewest bins counts.
-SLACK = (0, 1, 2, 4, 8, 16, 1 << 30)
+#: How many configurations one search for worthy ones brings.
+COLUMNS = 32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -64,43 +67,54 @@ def _piece_task(path: str, end_id: int, capacity: int) -> Callable:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every text's ids (with end_id): at most `capacity` ids each, only longer texts are cut."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(long_id(docs), "text")
     return rows.mapInArrow(_piece_task(tokenizer, end_id, capacity), PIECES)
 
 
-def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """The most worthy configuration: how many of each size, sizes with repetition."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def _worthy(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """The most worthy configuration that holds each size (how many of each, sizes with repetition): COLUMNS best ones, best first."""
+    best, take, at = np.zeros(capacity + 1), np.full(capacity + 1, -1), np.zeros(capacity + 1, np.int64)
     order = np.argsort(sizes)
     s, w = sizes[order], worth[order]
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(s, c, "right")
-        best[c] = best[c - 1]
-        if k:
-            value = best[c - s[:k]] + w[:k]
-            j = int(value.argmax())
-            if value[j] > best[c] + 1e-12:
-                best[c], take[c] = value[j], order[j]
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            out[take[c]] += 1
-            c -= sizes[take[c]]
+    fits = np.searchsorted(s, np.arange(capacity + 1), "right")
+    for c in range(int(s[0]), capacity + 1):
+        best[c], at[c] = best[c - 1], at[c - 1]
+        value = best[c - s[: fits[c]]] + w[: fits[c]]
+        j = int(value.argmax())
+        if value[j] > best[c] + 1e-12:
+            best[c], take[c], at[c] = value[j], order[j], c
+    first = np.argsort(-(worth + best[capacity - sizes]), kind="stable")[:COLUMNS]
+    out = np.zeros((len(first), len(sizes)), np.int64)
+    for row, j in zip(out, first.tolist(), strict=True):
+        row[j] += 1
+        c = at[capacity - sizes[j]]
+        while take[c] >= 0:
+            row[take[c]] += 1
+            c = at[c - sizes[take[c]]]
     return out
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how many bins of each cover `need` with the fewest bins, fractions allowed."""
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how many bins of each cover `need`, fractions allowed: within half a bin of the fewest.
+
+    Column generation: the basis takes in the most worthy configuration at its prices, until by these prices no set of
+    bins can be better by half a bin. Needs are made a little different so that no step is without gain."""
     k = len(sizes)
+    need = need * (1 + 1e-7 * np.arange(1, k + 1) / k)
     patterns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1 / np.diag(patterns))
     level = inverse @ need
-    for _ in range(rounds):
-        new = _knapsack(sizes, inverse.sum(0), capacity)
-        if inverse.sum(0) @ new <= 1 + 1e-9:
-            break
+    pool = np.zeros((0, k), np.int64)
+    while True:
+        price = inverse.sum(0)
+        value = pool @ price
+        if not len(pool) or value.max() <= 1 + 1e-6:
+            pool = _worthy(sizes, price, capacity)
+            value = pool @ price
+            total = level.sum()
+            if value[0] <= 1 + 1e-9 or total - total / value[0] < 0.5:
+                break
+        new = pool[int(value.argmax())]
         d = inverse @ new
         ratio = np.full(k, np.inf)
         np.divide(level, d, out=ratio, where=d > 1e-11)
@@ -152,25 +166,16 @@ class _Bins:
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple[int, ...]]]:
     """Classes of equal bins, (number of bins, lengths in one), that hold counts[length] items of each length."""
-    full, left = _grouped(counts, capacity, groups)
-    best: list[tuple[int, tuple[int, ...]]] | None = None
-    for slack in SLACK:
-        bins, rest = _Bins(capacity), dict(left)
-        for n, items in full:
-            if capacity - sum(items) <= slack:
-                bins.add(n, items)
-            else:
-                for s in items:
-                    rest[s] = rest.get(s, 0) + n
-        for s in sorted(rest, reverse=True):
-            bins.fit(s, rest[s])
-        got = bins.classes()
-        if best is None or sum(n for n, _ in got) < sum(n for n, _ in best):
-            best = got
-    return best or []
-
-
-def _grouped(counts: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    full, left = grouped(counts, capacity, groups)
+    bins = _Bins(capacity)
+    for n, items in full:
+        bins.add(n, items)
+    for s in sorted(left, reverse=True):
+        bins.fit(s, left[s])
+    return bins.classes()
+
+
+def grouped(counts: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
     """Classes of bins that the configurations of the grouped large lengths fill, and the counts of what is left."""
     full: list[tuple[int, tuple[int, ...]]] = []
     left = {s: n for s, n in counts.items() if n > 0}
