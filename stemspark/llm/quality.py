@@ -1,16 +1,18 @@
 """A quality classifier of supervised subword embeddings.
 
-Words and character n-grams are hashed into one table of learned vectors (pairs of a word with itself have one vector
-of their own); a document is the average of its vectors, a softmax layer gives the probabilities of the labels, and stochastic gradient descent in numpy trains both. As the
-layer is linear in the average, a document's score is an average of one number for each feature, which is how whole
-texts are scored.
+Word n-grams (one and two words) and character n-grams (three and four characters) are hashed into one table of
+learned vectors; a document is the average of its vectors, a softmax layer gives the probabilities of the labels, and
+stochastic gradient descent in numpy trains both on the gradient of the log loss. As the layer is linear in the
+average, a document's score is an average of one number for each feature, which is how whole texts are scored.
 
-The model is fitted in one task on a bounded sample: TRAIN_DOCS labelled documents of at most TRAIN_BYTES each, those
-whose ids have the least hashes; every document is scored over its whole text.
+The model is fitted in one task on a bounded sample: TRAIN_DOCS labelled documents, those whose ids have the least
+hashes, each by at most TRAIN_CHARS characters (of a longer text its beginning, middle and end); every document is
+scored over its whole text.
 
 Defined results: a null, empty or blank text has no features and its score is that of the bias; several labels of
-one id count as the least of them; rows without an id are scored as any other and are not held out; without labelled
-rows every score is 0.5; an empty table gives an empty table; other columns don't matter.
+one id count as the least of them; rows without an id are scored as any other and are not held out; ids that are no
+integers are refused; without labelled rows every score is 0.5; an empty table gives an empty table; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -23,23 +25,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import long_id
 
-TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 16
-BUCKET_BITS, DIMENSION = 17, 8
+TRAIN_DOCS, TRAIN_CHARS = 4000, 60_000
+BUCKET_BITS, DIMENSION = 20, 8
 GRAMS = (3, 4)
-EPOCHS, RATE = 12, 0.5
+#: Passes over the sample; first steps of the layer, its bias and the vectors, which fall to 0 in a line. A feature's
+#: part of a document is small, and so is the gradient of its vector: its steps are longer.
+EPOCHS, RATE, BIAS_RATE, VECTOR_RATE = 12, 0.5, 0.05, 30.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
 
 def features(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and character n-grams of a block's texts, and the text of each. An n-gram may begin or
-    end with white space but holds none inside."""
+    """Buckets of all words, pairs of neighbouring words and character n-grams of a block's texts, and the text of each.
+    A character n-gram may begin or end with white space but holds none inside."""
     found = W.words(block, lower=True)
     data = W.LOWER[block.data]
     owner = W.owner(found.at)
-    twice = np.flatnonzero((found.hash[1:] == found.hash[:-1]) & (owner[1:] == owner[:-1])) + 1
-    out, text = [found.hash, np.full(len(twice), W.U64(1))], [owner, owner[twice]]
+    at, pair = W.windows(found, 2, 9)
+    out, text = [found.hash, pair], [owner, owner[at]]
     begin = np.flatnonzero((data & 0xC0) != 0x80)
     of = np.searchsorted(block.at, begin, "right") - 1
     blank = np.r_[0, np.cumsum(~W.CLASSES["space"][data[begin]])]  # counts of full characters
@@ -55,12 +60,10 @@ def features(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Vectors of buckets, the softmax layer, and the number of each bucket that scores are averages of."""
+    """The number of each bucket that scores are averages of, and what is added to the average."""
 
-    def __init__(self, vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray):
-        self.vectors, self.layer, self.bias = vectors, layer, bias
-        self.weight = (vectors @ (layer[1] - layer[0])).astype(np.float64)
-        self.offset = float(bias[1] - bias[0])
+    def __init__(self, weight: np.ndarray, offset: float):
+        self.weight, self.offset = weight, offset
 
     def scores(self, block: W.Block) -> np.ndarray:
         bucket, text = features(block)
@@ -70,27 +73,33 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.offset)))
 
 
+def gradient(rows: np.ndarray, share: np.ndarray, layer: np.ndarray, bias: np.ndarray, label: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log loss of a document (vectors of its features, their shares) and its gradients by rows, layer and bias."""
+    hidden = share @ rows
+    logits = layer @ hidden + bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    loss = -float(np.log(max(p[label], 1e-300)))
+    p[label] -= 1
+    return loss, np.outer(share, layer.T @ p), np.outer(p, hidden), p
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> Model:
     """docs: distinct buckets, their shares of the document, and the label (0 or 1) of each."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSION)) / DIMENSION
     layer, bias = np.zeros((2, DIMENSION)), np.zeros(2)
-    total = EPOCHS * max(1, len(docs))
-    for step in range(EPOCHS * len(docs)):
+    total = EPOCHS * len(docs)
+    for step in range(total):
         if step % len(docs) == 0:
             order = rng.permutation(len(docs))
         bucket, share, label = docs[order[step % len(docs)]]
-        hidden = share @ vectors[bucket]
-        logits = layer @ hidden + bias
-        p = np.exp(logits - logits.max())
-        p /= p.sum()
-        p[label] -= 1
-        rate = RATE * (1 - step / total)
-        back = layer.T @ p
-        layer -= rate * np.outer(p, hidden)
-        bias -= rate * 0.1 * p
-        vectors[bucket] -= (rate * len(bucket) * share)[:, None] * back / max(1.0, np.sqrt(len(bucket)))
-    return Model(vectors, layer, bias)
+        _, by_rows, by_layer, by_bias = gradient(vectors[bucket], share, layer, bias, label)
+        left = 1 - step / total
+        vectors[bucket] -= VECTOR_RATE * left * by_rows
+        layer -= RATE * left * by_layer
+        bias -= BIAS_RATE * left * by_bias
+    return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +116,7 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     docs.append((some, n / n.sum(), int(label[block.first + k])))
     if docs:
         m = train(docs)
-        raw = [m.vectors.astype("<f4").tobytes(), m.layer.astype("<f8").tobytes(), m.bias.astype("<f8").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], names=["vectors", "layer", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([m.weight.astype("<f4").tobytes()], pa.binary()), pa.array([m.offset])], names=["weight", "offset"])
 
 
 def held_out(id_: Column) -> Column:
@@ -118,22 +126,23 @@ def held_out(id_: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
     """A model from the labelled documents that aren't held out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select(long_id(labels), label_col).where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    sample = docs.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES)  # TRAIN_DOCS rows at most
-    sample = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label").orderBy("h", "doc_id").limit(TRAIN_DOCS)
-    rows = sample.select("text", "label").coalesce(1).mapInArrow(_train_task, "vectors binary, layer binary, bias binary").collect()
+    third, n = TRAIN_CHARS // 3, F.length("text")
+    part = F.concat_ws(" ", F.substring("text", 1, third), F.substring(F.col("text"), (n / 2).cast("int"), F.lit(third)), F.substring("text", -third, third))
+    text = F.when(n <= TRAIN_CHARS, F.col("text")).otherwise(part)
+    sample = docs.select(long_id(docs), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # TRAIN_DOCS ids at most
+    sample = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", text.alias("text"), "label").orderBy("h", "doc_id", "text").limit(TRAIN_DOCS)
+    rows = sample.select("text", "label").coalesce(1).mapInArrow(_train_task, "weight binary, offset double").collect()
     if not rows:
-        return Model(np.zeros((1 << BUCKET_BITS, DIMENSION)), np.zeros((2, DIMENSION)), np.zeros(2))
-    vectors, layer, bias = (np.frombuffer(rows[0][k], t) for k, t in enumerate(("<f4", "<f8", "<f8")))
-    return Model(vectors.reshape(-1, DIMENSION), layer.reshape(2, DIMENSION), bias)
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
+    return Model(np.frombuffer(rows[0].weight, "<f4"), rows[0].offset)
 
 
 def _score_task(weight: np.ndarray, offset: float) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.__new__(Model)
-        model.weight, model.offset = weight.astype(float), offset
+        model = Model(weight.astype(float), offset)
         for batch in batches:
             parts = [model.scores(b) for b in W.blocks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
@@ -143,5 +152,5 @@ def _score_task(weight: np.ndarray, offset: float) -> Callable:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score_task(model.weight.astype(np.float32), model.offset), "doc_id long, score double")
+    rows = docs.select(long_id(docs), "text").mapInArrow(_score_task(model.weight, model.offset), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
