@@ -7,7 +7,8 @@ index entry and one frame. The dictionary lies beside the files under its SHA-25
 
 Defined results: a null or empty text has the end id alone (or no ids without one); null ids of documents come
 first and are written as the smallest 64-bit integer; rows of one doc_id are written one after the other, each
-with a place of its own; an empty table gives no files and no rows; other columns don't matter.
+with a place of its own; ids that are no integers are refused; an empty table gives no files and no rows; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import fresh, kept, parts
+from .store import fresh, kept, long_id, parts
 from .tokens import BLOCK_BYTES, encoder
 
 MAGIC = b"TOKZST\x01\x00"
@@ -47,30 +48,39 @@ def _width(ids_below: int) -> np.dtype:
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary from serialized id arrays; without enough of them, an empty one (frames then stand alone)."""
+    """A dictionary from serialized id arrays. Where they are too few or too alike to train on, it is made of the arrays
+    themselves (as raw content, the last DICT_BYTES of them), so that there always is one."""
     import zstandard
 
-    samples = [s[:DICT_DOC_BYTES] for s in samples if len(s) >= 8]
-    if len(samples) < 8:
-        return b""
+    raw = b"".join(samples)[-DICT_BYTES:].ljust(8, b"\0")
+    size = min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8))
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return raw
+
+
+def _sample_task(path: str, end_id: int | None, width: np.dtype) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, most = encoder(path, end_id), DICT_DOC_BYTES // width.itemsize
+        for batch in batches:
+            out, chosen = [], batch.column(0).to_pylist()
+            for block in W.blocks(batch.column(1), BLOCK_BYTES):
+                ids, at = coder.encode(block)
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    skip = chosen[block.first + k] % max(1, b - a - most + 1)  # a run of ids from anywhere in the text
+                    out.append(ids[a + skip : min(b, a + skip + most)].astype(width).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["h", "ids"])
+
+    return task
 
 
 def sample_ids(docs: DataFrame, path: str, end_id: int | None, width: np.dtype) -> list[bytes]:
-    """Serialized ids of the DICT_DOCS documents whose doc_ids have the smallest hashes: a bounded sample."""
-    picked = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCS).collect()]
-    if not picked:
-        return []
-    rows = docs.where(F.col("doc_id").isin(picked)).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DICT_DOC_BYTES).alias("text"))
-    texts = [r.text for r in rows.orderBy("h", "doc_id").limit(DICT_DOCS).collect()]
-    out = []
-    for block in W.blocks(pa.array(texts, pa.string()), BLOCK_BYTES):
-        ids, at = encoder(path, end_id).encode(block)
-        out += [ids[a:b].astype(width).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return out
+    """Serialized ids (a run of at most DICT_DOC_BYTES of each) of the DICT_DOCS documents whose doc_ids have the smallest
+    hashes: a bounded sample, encoded in tasks."""
+    picked = [r[0] for r in docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCS).collect()]
+    rows = docs.where(F.col("doc_id").isin(picked)).select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(DICT_DOCS)
+    return [bytes(r.ids) for r in rows.mapInArrow(_sample_task(path, end_id, width), "h long, ids binary").orderBy("h", "ids").collect()]
 
 
 class _Writer:
@@ -82,7 +92,7 @@ class _Writer:
         self.out = fs.open_output_stream(path, compression=None)
         self.out.write(HEAD.pack(MAGIC, 1, width.itemsize, hashlib.sha256(dictionary).digest()))
         self.at, self.entries, self.n_ids = HEAD.size, [], 0
-        self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
+        self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
 
     def add(self, doc_id: int, ids: bytes, n: int) -> None:
         frame = self.zip.compress(ids)
@@ -138,7 +148,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: st
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/{hashlib.sha256(dictionary).hexdigest()}.dict", compression=None) as f:
         f.write(dictionary)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(long_id(docs), "text").repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id")
     told = rows.mapInArrow(_write_task(folder, dictionary, tokenizer, end_id, width), "seq long, file string, n_docs long, n_ids long")
     told = kept(told.withColumn("part", F.spark_partition_id()), "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
@@ -160,7 +170,7 @@ def read_file(uri: str) -> Iterator[tuple[int, np.ndarray]]:
             dictionary = d.read()
         if hashlib.sha256(dictionary).digest() != sha:
             raise ValueError(f"{uri} was written with another dictionary")
-        unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         entries = np.frombuffer(f.read_at(n * ENTRY.itemsize, index), ENTRY)
         lo = 0
         while lo < n:  # a few MB at once
@@ -185,7 +195,7 @@ def read_document(uri: str, doc_id: int) -> list[np.ndarray]:
         entries = np.frombuffer(f.read_at(n * ENTRY.itemsize, index), ENTRY)
         with fs.open_input_file(f"{path.rpartition('/')[0]}/{sha.hex()}.dict") as d:
             dictionary = d.read()
-        unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         lo, hi = np.searchsorted(entries["doc_id"], [doc_id, doc_id + 1])
         return [np.frombuffer(unzip.decompress(f.read_at(int(e["size"]), int(e["offset"]))), f"<u{step}") for e in entries[lo:hi]]
 
