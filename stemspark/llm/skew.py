@@ -11,8 +11,8 @@ from .store import parts
 HEAVY = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame | None = None) -> DataFrame:
-    """The inner join of left with right (any columns beside the keys; null keys meet nothing).
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """The inner (or left) join of left with right (any columns beside the keys; null keys meet nothing).
 
     Rows of left under a heavy key are dealt over all partitions by a salt, and right's rows of that key go to each of
     them. weights (keys, n: rows of left) tells heavy keys; without it they are counted, with sums before the shuffle.
@@ -23,11 +23,11 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weights: Dat
     total = weights.agg(F.sum("n")).first()[0] or 0
     heavy = weights.where(F.col("n") > max(1, total // HEAVY)).select(*keys)
     if heavy.isEmpty():
-        return left.join(right, keys)
+        return left.join(right, keys, how)
     known = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     n = parts(spark)
     salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(F.struct(*left.columns)), F.lit(n)).cast("int")).otherwise(0)
     salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
     left = left.join(known, keys, "left").withColumn("_salt", salt).drop("_heavy")
     right = right.join(known, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -7,8 +7,8 @@ it.
 
 Defined results: a null payload is empty; a null url gives a record without a target; rows with a null id are
 responses or revisits as any other, and take part in the choice of a response only if all their equals have null
-ids; rows of one id are records of their own, and every row with the greatest id is a response; an empty table gives
-no bundles; other columns don't matter.
+ids; rows of one id are records of their own, and every row with the greatest id is a response; ids that are no
+integers are refused; an empty table gives no bundles; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh, kept, parts
+from .skew import spread_join
+from .store import fresh, kept, long_id, parts
 
 MIN_REVISIT = 1000
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 64 << 20, 5
@@ -135,17 +136,17 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write pages (page_id, url, html) as bundles; returns the index: page_id, file, frame, offset (in it), size.
 
     The choice of responses is a greatest id for each digest, summed before the shuffle; joined back, a digest that
-    many pages share is split by adaptive execution. A task that runs twice writes other names."""
+    many pages share is dealt over all partitions. A task that runs twice writes other names."""
     spark = pages.sparkSession
     folder = folder or fresh(spark, "warc")
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    leaders = rows.where(F.col("n") >= MIN_REVISIT).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("copies"))
-    leaders = leaders.where("copies > 1").select("of", "leader")
-    rows = rows.join(leaders, F.col("digest") == F.col("of"), "left")
-    revisit = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
+    rows = pages.select(long_id(pages, "page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
+    leaders = rows.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("copies"))
+    leaders = kept(leaders.where("copies > 1"), "responses")
+    rows = spread_join(rows, leaders, ["digest"], leaders.select("digest", F.col("copies").alias("n")), "left")
+    revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
     rows = rows.select("page_id", "url", "html", "digest", "leader", revisit.alias("revisit"))
     return kept(rows.mapInArrow(_write_task(folder), "page_id long, file string, frame int, offset long, size long"), "warc_index")
 
@@ -181,29 +182,33 @@ _READ = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_diges
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of frames (file, frame); a file's seek table is read once a task."""
     import zstandard
 
-    schema = pa.schema(_READ)
+    schema, tables = pa.schema(_READ), {}
     for batch in batches:
-        for uri in batch.column(0).to_pylist():
+        for uri, frame in sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if uri not in tables:
+                tables[uri] = seek_table(uri)
+            start, packed, full = tables[uri][frame]
             fs, path = pa.fs.FileSystem.from_uri(uri)
-            table = seek_table(uri)
             with fs.open_input_file(path) as f:
-                for start, packed, full in table:
-                    data, at, rows = zstandard.ZstdDecompressor().decompress(f.read_at(packed, start), max_output_size=full), 0, []
-                    while at < len(data):
-                        fields, block, at = parse(data, at)
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        n = int(head.rpartition(b"Content-Length: ")[2])
-                        digest = base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2]).hex()
-                        revisit = fields["WARC-Type"] == "revisit"
-                        if not revisit and (len(body) != n or hashlib.sha1(body).hexdigest() != digest):
-                            raise ValueError(f"a payload in {uri} isn't what its header says")
-                        rows.append((_page(fields["WARC-Record-ID"]), n, digest, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if revisit else None, fields.get("WARC-Target-URI")))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_READ)], schema=schema)
+                data, at, rows = zstandard.ZstdDecompressor().decompress(f.read_at(packed, start), max_output_size=full), 0, []
+            while at < len(data):
+                fields, block, at = parse(data, at)
+                head, _, body = block.partition(b"\r\n\r\n")
+                n = int(head.rpartition(b"Content-Length: ")[2])
+                digest = base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2]).hex()
+                revisit = fields["WARC-Type"] == "revisit"
+                if not revisit and (len(body) != n or hashlib.sha1(body).hexdigest() != digest):
+                    raise ValueError(f"a payload in {uri} isn't what its header says")
+                rows.append((_page(fields["WARC-Record-ID"]), n, digest, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if revisit else None, fields.get("WARC-Target-URI")))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_READ)], schema=schema)
 
 
 def read(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record of the bundles in an index."""
-    files = index.select("file").distinct().repartition(parts(spark), "file")
-    return files.mapInArrow(_read_task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record of the bundles in an index.
+
+    Frames, not files, are dealt, and over all partitions: each is read by itself through its file's seek table."""
+    frames = index.select("file", "frame").distinct().repartition(parts(spark))
+    return frames.mapInArrow(_read_task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
