@@ -4,8 +4,8 @@ Cross-document line frequency: lines are normalised (ASCII letters made small, w
 hashed; for each host the distinct documents that hold a line are counted; lines above the limit are removed; a
 document that loses too much is rejected.
 
-Copies of one text are no evidence that its lines are boilerplate: documents whose whole texts have the same words (in
-small letters, by a hash of 64 bits) count as one. Texts that differ anywhere are distinct, whatever lines they share.
+Exact copies of one text count as one document of a host (equal words in small letters, by a hash of 64 bits): they are
+no evidence that its lines are boilerplate. Texts that differ anywhere are distinct, whatever lines they share.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null hosts are one host;
 a row repeated in the input is judged as often as it stands there and counts once as a document (by its id);
@@ -22,14 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import kept
+from .store import free_name, kept, long_id
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line that has a word is boilerplate of its host if more documents than this hold it.
 LINE_DOCS = 100
-#: Not used here: the least words of a line in the earlier rule, which op9's SQL and the brute-force test still state.
-LINE_WORDS = 3
 #: A document is depleted if its boilerplate lines hold more than this share of its words.
 DEPLETED_PERCENT = 50
 
@@ -99,7 +97,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: its id, n_words and the four counts of its whole text, and base_failed."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col("text"))
     counted = rows.mapInArrow(_counts, f"doc_id long, {_COUNTS}")
     return counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
@@ -134,7 +132,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_table(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
     """doc_id, host, line (hash of a normalised line), line_words (words of all its places in that document), whole
     (hash of the words of the whole text)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), "text")
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), "text")
     return rows.mapInArrow(_line_rows, "doc_id long, host string, line long, line_words long, whole long")
 
 
@@ -169,8 +167,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", max
     return out.withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("n_line_words"), F.col("n_words")))
 
 
-def _clean_task(names: list[str]) -> Callable:
-    """Texts without the lines whose hashes stand in the column _lines; whether a text passes stands in _kept."""
+def _clean_task(names: list[str], passes: str) -> Callable:
+    """Texts without the lines whose hashes stand in the last column, and a column more: whether the text passes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,16 +188,17 @@ def _clean_task(names: list[str]) -> Callable:
                         out[row] = b"\n".join(block.data[x:y].tobytes() for x, y, d in zip(start[a:b], end[a:b], drop, strict=True) if not d).decode()
                     passed.append(bool(n_words[k] >= MIN_WORDS and 100 * repeated[k] <= MAX_REPEAT_PERCENT * n_words[k] and 100 * lost <= DEPLETED_PERCENT * n_words[k]))
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(passed, pa.bool_())], names=[*names, "_kept"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(passed, pa.bool_())], names=[*names, passes])
 
     return task
 
 
 def clean(docs: DataFrame, host_col: str = "source", max_docs: int = LINE_DOCS) -> DataFrame:
     """The rows of docs (all columns) that pass, without the lines above the limit; n_chars follows the text."""
-    lost = _lost(docs, "doc_id", host_col, max_docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    names = docs.columns
-    marked = docs.join(lost, F.col("doc_id") == F.col("_id"), "left").select(*(docs[c] for c in names), "_lines")
+    lost = _lost(docs, "doc_id", host_col, max_docs)
+    names, id_, lines, passes = docs.columns, free_name(docs, "id"), free_name(docs, "lines"), free_name(docs, "passes")
+    lost = lost.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(lines))
+    marked = docs.join(lost, docs["doc_id"] == F.col(id_), "left").select(*(docs[c] for c in names), lines)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = marked.mapInArrow(_clean_task(names), f"{schema}, _kept boolean").where("_kept").drop("_kept")
+    out = marked.mapInArrow(_clean_task(names, passes), f"{schema}, `{passes}` boolean").where(F.col(passes)).drop(passes)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

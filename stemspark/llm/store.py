@@ -73,3 +73,10 @@ def long_id(df: DataFrame, name: str = "doc_id") -> Column:
     if not isinstance(kind, IntegralType | NullType):
         raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
     return df[name].cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
