@@ -7,7 +7,7 @@ from the cells. Only the keys of buckets that are still too large go into the ne
 
 Defined results: a null text has no bytes; a null id has the key of the empty string; rows of one id stay together,
 and a bucket that such a key, or one document, makes larger than the limit is marked oversized; an empty table
-gives an empty table; other columns are kept by write() and don't matter else.
+gives an empty table; other columns are kept by write(), whatever their names, and don't matter else.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import fresh, kept
 
 BITS = 60
 STEP = 12
@@ -46,29 +46,66 @@ def _directory(rows: DataFrame, base: int, limit: int) -> DataFrame:
     return found.groupBy("cell").agg(F.min(entry).alias("e")).select("cell", "e.*")
 
 
-def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, depth (bits of the shard), shard (those bits), shard_bytes, shard_docs, oversized of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key(F.col(id_col)).alias("key"))
-    rows, base, out = kept(rows, "keys"), 0, None
+def directory(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> list[tuple[int, DataFrame]]:
+    """For each round its bits and cells; a cell without depth is looked up in the next round's."""
+    rows = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key(F.col(id_col)).alias("key"))
+    rows, base, out = kept(rows, "keys"), 0, []
     while True:
         bits = min(BITS, base + STEP)
         cells = kept(_directory(rows, base, limit), "directory")
-        here = rows.withColumn("cell", _prefix(bits)).join(cells.where("depth is not null"), "cell").drop("cell", "key")
-        out = here if out is None else out.unionByName(here)
+        out.append((bits, cells))
         if cells.where("depth is null").isEmpty():
-            break
+            return out
         open_ = cells.where("depth is null").select("cell")
         rows, base = kept(rows.withColumn("cell", _prefix(bits)).join(open_, "cell", "left_semi").drop("cell"), "keys"), bits
-    return out.select("doc_id", "n_bytes", F.col("depth").cast("int"), "shard", "shard_bytes", "shard_docs", "oversized")
 
 
-def write(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
-    """Write docs under path, a folder for each shard (named by its bits), and return assign()'s rows.
+def _placed(rows: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFrame:
+    """rows (with key) and their bucket's entry (depth, shard, shard_bytes, shard_docs, oversized); rows aren't moved by
+    the first round's directory, which has at most 2 ** STEP cells."""
+    names = ["depth", "shard", "shard_bytes", "shard_docs", "oversized"]
+    for k, (bits, cells) in enumerate(found):
+        cells = cells.where("depth is not null").select(F.col("cell").alias(f"cell_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in names))
+        cells = F.broadcast(cells) if not k else cells
+        rows = rows.join(cells, _prefix(bits) == F.col(f"cell_{k}"), "left").drop(f"cell_{k}")
+    every = [F.coalesce(*(F.col(f"{c}_{k}") for k in range(len(found)))).alias(c) for c in names]
+    return rows.select(*(c for c in rows.columns if not any(c == f"{n}_{k}" for n in names for k in range(len(found)))), *every)
+
+
+def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_bytes, depth (bits of the shard), shard (those bits), shard_bytes, shard_docs, oversized of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key(F.col(id_col)).alias("key"))
+    out = _placed(rows, directory(docs, limit, id_col))
+    return out.select("doc_id", "n_bytes", F.col("depth").cast("int"), "shard", "shard_bytes", "shard_docs", "oversized")
+
 
-    A shard is written by one task; its bytes are bounded by the limit but for those that are marked."""
-    placed = kept(assign(docs, limit, id_col), "shards")
-    name = F.concat(F.lit("b"), F.when(F.col("depth") > 0, F.lpad(F.bin("shard"), F.col("depth"), F.lit("0"))).otherwise(F.lit("")))
-    where = placed.select(F.col("doc_id").alias("_id"), name.alias("_shard")).distinct()
-    rows = docs.join(where, docs[id_col].eqNullSafe(where["_id"])).drop("_id")
-    rows.repartition("_shard").write.partitionBy("_shard").parquet(path)
-    return placed
+def write(docs: DataFrame, path: str | None = None, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> str:
+    """Write docs under path, a folder for each shard (shard=b and its bits), and return the path.
+
+    Texts move once. A shard is one task's, and its bytes are bounded by the limit; one that is oversized (rows of one
+    id) is dealt over as many tasks as it has limits."""
+    path = path or fresh(docs.sparkSession, "shards")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.struct("*")).alias("salt"), key(F.col(id_col)).alias("key"))
+    rows = _placed(rows, directory(docs, limit, id_col))
+    bits = F.when(F.col("depth") > 0, F.lpad(F.bin("shard"), F.col("depth"), F.lit("0"))).otherwise(F.lit(""))
+    part = F.when(F.col("oversized"), F.pmod("salt", F.ceil(F.col("shard_bytes") / limit))).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("row", F.concat(F.lit("b"), bits).alias("shard"), part.alias("part")).repartition("shard", "part")
+    rows.select("row", "shard").write.partitionBy("shard").parquet(path)
+    return path
+
+
+def read(docs: DataFrame, path: str) -> DataFrame:
+    """Rows of the shards that write() made of docs: row (the document), depth, shard."""
+    rows = docs.sparkSession.read.schema(docs.select(F.struct("*").alias("row")).schema.add("shard", "string")).parquet(path)
+    bits = F.substring("shard", 2, BITS)
+    return rows.select("row", F.length(bits).alias("depth"), F.coalesce(F.conv(bits, 2, 10).cast("long"), F.lit(0).cast("long")).alias("shard"))
+
+
+def write_and_measure(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
+    """The columns of assign(), all of them read from the shards that were written: bytes and documents are those that
+    the files hold."""
+    rows = read(docs, write(docs, None, limit, id_col))
+    rows = rows.select(F.col(f"row.{id_col}").alias("doc_id"), F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), "depth", "shard")
+    rows = kept(rows, "placed")
+    sums = rows.groupBy("depth", "shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
+    return rows.join(sums, ["depth", "shard"]).select("doc_id", "n_bytes", "depth", "shard", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized"))
