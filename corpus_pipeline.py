@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What
 a stage returns is written as Parquet in the shared folder and read again as the next one's docs.
+
+Defined results: documents without words (null, empty, blank texts) are rejected by the first stage; a row with a null
+id passes the later ones; rows of one doc_id share what their stage decides; an empty
+table gives no sequences; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stemspark.llm import decontaminate, near, packing, rules, substrings
 from stemspark.llm.queries import END_ID, tokenizer_path
-from stemspark.llm.store import kept, table
+from stemspark.llm.store import free_name, kept, table
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -32,10 +36,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; documents of which no word stays go."""
     found = substrings.dedup(docs, as_text=True).where("n_removed > 0")
-    changed = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by("out", "n_removed").alias("_text"))
-    joined = docs.join(changed, F.col("doc_id") == F.col("_id"), "left").where("_id is null or _text <> ''")
-    text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_text"))
-    n_chars = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("_text"))
+    id_, left = free_name(docs, "id"), free_name(docs, "left")
+    changed = found.groupBy(F.col("doc_id").alias(id_)).agg(F.min_by("out", "n_removed").alias(left))
+    joined = docs.join(changed, docs["doc_id"] == F.col(id_), "left").where(F.col(id_).isNull() | (F.col(left) != ""))
+    text = F.when(F.col(id_).isNull(), F.col("text")).otherwise(F.col(left))
+    n_chars = F.when(F.col(id_).isNull(), F.col("n_chars")).otherwise(F.length(left))
     return joined.withColumns({"text": text, "n_chars": n_chars.cast("long")}).select(docs.columns)
 
 
