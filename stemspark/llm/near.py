@@ -3,17 +3,23 @@
 A document is the set of its distinct shingles. Each of its registers holds the exponentially spaced, truncated
 minimum of a hash over that set; registers of two sets merge by taking the greater. Bands of registers are the
 keys under which similar sets meet. In a bucket all meet its least member, the pivot; similarity is estimated from
-both sketches jointly by likelihood, and links are confirmed on the full sets.
+both sketches jointly by likelihood, pairs whose estimate lies more than MARGIN below a link's similarity are given up,
+and the others are confirmed on the full sets.
 
 All pairs of a bucket are never made. Documents of equal sets are one from the start. Each member is compared with
-the pivot of its bucket, exactly. Of the rest, only pairs that can still join two components are looked at: one of
+the pivot of its bucket. Of the rest, only pairs that can still join two components are looked at: one of
 them isn't linked with the pivot, their sizes allow it, and their distances to the pivot differ by no more than
-the distance of a link (the Jaccard distance obeys the triangle inequality). That happens inside a task that holds
-a bounded block of the pivot's group; larger groups are cut into blocks whose open members meet in pairs of blocks.
+the distance of a link (the Jaccard distance obeys the triangle inequality; a distance that is only estimated gets MARGIN
+more). That happens inside a task that holds a bounded block of the pivot's group; larger groups are cut into blocks
+whose open members meet in pairs of blocks. Buckets, pivots and equal sets that any share of all documents belong to
+are dealt over all partitions where they are joined.
+
+A link is lost by chance alone: one of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 < 3e-7, and has an
+estimate below the margin with probability < 1e-8. Both fall with the similarity.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a null id gets a null
-component and is kept; rows of one doc_id are one node; an empty table gives an empty table; other columns don't
-matter.
+component and is kept; rows of one doc_id are one node; ids that are no integers are refused; an empty table gives an
+empty table; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .store import kept, parts
+from .skew import spread_join
+from .store import Scratch, kept, long_id, parts
 
 SHINGLE = 5
 #: Similarity of a link, in hundredths.
@@ -119,7 +126,7 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), one and two (fingerprint of the set), bands (a key for each band of its registers)."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(long_id(docs), "text")
     return rows.mapInArrow(_sketch_task, "doc_id long, n long, one long, two long, bands array<long>")
 
 
@@ -178,6 +185,11 @@ class _Members:
         return out
 
 
+def _loose(far: np.ndarray) -> np.ndarray:
+    """How far a distance to the pivot may be off: those beyond what the margin lets through are estimates."""
+    return np.where(far > 1 - LINK / 100 + MARGIN, MARGIN, 0.0)
+
+
 def _linked(shared: np.ndarray, n_x: int, n_y: np.ndarray) -> np.ndarray:
     return 100 * shared >= LINK * (n_x + n_y - shared)
 
@@ -197,12 +209,13 @@ def _residual(some: _Members, open_: np.ndarray, all_: _Members, same: bool) ->
         for k in rest:
             root[int(some.id[k])] = int(some.id[rest[0]])
     out, reach = [], 1 - LINK / 100 + 1e-9
+    all_loose, some_loose = _loose(all_.far), _loose(some.far)
     done = np.zeros(len(all_.id), bool)
     for k in np.flatnonzero(open_):
         n = int(some.n[k])
         if same:
             done[k] = True
-        may = ~done & (100 * np.minimum(all_.n, n) >= LINK * np.maximum(all_.n, n)) & (np.abs(all_.far - some.far[k]) <= reach) & (all_.id != some.id[k])
+        may = ~done & (100 * np.minimum(all_.n, n) >= LINK * np.maximum(all_.n, n)) & (np.abs(all_.far - some.far[k]) <= reach + all_loose + some_loose[k]) & (all_.id != some.id[k])
         which = np.flatnonzero(may)
         if not len(which):
             continue
@@ -253,9 +266,13 @@ def _group_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = _Members(rest)
         for head in heads:
             s = np.frombuffer(head[2], W.U64)
-            shared = members.shared(s, np.arange(len(rest)))
-            linked = _linked(shared, len(s), members.n)
-            members.far = 1 - shared / (len(s) + members.n - shared)
+            near = estimate(np.frombuffer(head[1], np.uint16), float(len(s)), members.regs, members.n.astype(float))
+            likely = np.flatnonzero(near >= LINK / 100 - MARGIN)
+            members.far, linked = np.maximum(1 - near, 1 - LINK / 100 + MARGIN + 1e-9), np.zeros(len(rest), bool)
+            if len(likely):
+                shared = members.shared(s, likely)
+                linked[likely] = _linked(shared, len(s), members.n[likely])
+                members.far[likely] = 1 - shared / (len(s) + members.n[likely] - shared)
             out += [(int(x), pivot, None) for x in members.id[linked]]
             out += [(a, b, None) for a, b in _residual(members, ~linked, members, True)]
             if n_blocks > 1:
@@ -275,23 +292,27 @@ def _cross_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _links([(a, b, None) for a, b in _residual(some, np.ones(len(ask), bool), _Members(rest), False)])
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b of links between representatives (known: sketches, one row a set) that suffice for the components."""
+def links(docs: DataFrame, known: DataFrame, work: Scratch) -> DataFrame:
+    """a, b of links between representatives (known: sketches, one row a set) that suffice for the components; work holds
+    what they are read from."""
     spark = docs.sparkSession
     n = parts(spark)
     keyed = known.where("n > 0").select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot")).where("size > 1").select("key", "pivot")
-    pairs = kept(keyed.join(buckets, "key").where("doc_id <> pivot").select("doc_id", "pivot").distinct(), "pairs")
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack_task, "doc_id long, packed binary")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).where("n > 1")
+    buckets = work.kept(buckets, "buckets")
+    met = spread_join(keyed, buckets.drop("n"), ["key"], buckets)
+    pairs = work.kept(met.where("doc_id <> pivot").select("doc_id", "pivot").distinct(), "pairs")
+    packed = docs.select(long_id(docs), "text").mapInArrow(_pack_task, "doc_id long, packed binary")
     weight = known.select("doc_id", F.col("n").alias("weight"))
     groups = pairs.join(weight, "doc_id").groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    groups = groups.select("pivot", blocks.alias("blocks"))
-    members = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks", "doc_id")
+    groups = work.kept(groups.select("pivot", "members", blocks.alias("blocks")), "groups")
+    weights, groups = groups.select("pivot", F.col("members").alias("n")), groups.drop("members")
+    members = spread_join(pairs, groups, ["pivot"], weights).select("pivot", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks", "doc_id")
     heads = groups.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.col("pivot").alias("doc_id"))
     rows = _with_sets(members.unionByName(heads), packed)
     dealt = rows.repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block")
-    found = kept(dealt.mapInArrow(_group_task, _OUT), "links")
+    found = work.kept(dealt.mapInArrow(_group_task, _OUT), "links")
     sure = found.where("far is null").select("a", "b")
     return sure.unionByName(_cross(found.where("far is not null"), groups, packed, n))
 
@@ -313,16 +334,19 @@ def _cross(open_: DataFrame, groups: DataFrame, packed: DataFrame, n: int) -> Da
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id), for each row."""
-    known = kept(sketches(docs), "sketches")
-    named = known.where("n > 0 and doc_id is not null")
-    same = named.groupBy("n", "one", "two").agg(F.min("doc_id").alias("first"))
-    same = kept(same, "equal_sets")
-    at_first = (F.col("doc_id") == F.col("first")) & (named.n == same.n) & (named.one == same.one) & (named.two == same.two)
-    once = named.join(same, at_first, "left_semi").select("doc_id", "n", "bands")
-    met = links(docs.where("doc_id is not null"), once)
+    work, known = Scratch(docs.sparkSession, "near"), kept(sketches(docs), "sketches")
+    named = known.where("n > 0 and doc_id is not null").withColumnRenamed("n", "size")
+    same = named.groupBy("size", "one", "two").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    same = work.kept(same, "equal_sets")
+    at_first = (F.col("doc_id") == F.col("first")) & (named["size"] == same["size"]) & (named.one == same.one) & (named.two == same.two)
+    once = named.join(same, at_first, "left_semi").select("doc_id", F.col("size").alias("n"), "bands")
+    met = links(docs.where("doc_id is not null"), once, work)
     # rows of one doc_id with different texts are one node: each of its sets is linked with it
-    own = named.join(same, ["n", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    again = same.where("n > 1")
+    own = spread_join(named.drop("bands"), again.drop("n"), ["size", "one", "two"], again)
+    own = own.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
     found = components(met.unionByName(own))
+    work.drop()
     out = known.join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
