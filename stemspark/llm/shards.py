@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, kept
+from .store import fresh, kept, parts
 
 BITS = 60
 STEP = 12
@@ -89,7 +89,7 @@ def write(docs: DataFrame, path: str | None = None, limit: int = SHARD_BYTES, id
     rows = _placed(rows, directory(docs, limit, id_col))
     bits = F.when(F.col("depth") > 0, F.lpad(F.bin("shard"), F.col("depth"), F.lit("0"))).otherwise(F.lit(""))
     part = F.when(F.col("oversized"), F.pmod("salt", F.ceil(F.col("shard_bytes") / limit))).otherwise(F.lit(0).cast("long"))
-    rows = rows.select("row", F.concat(F.lit("b"), bits).alias("shard"), part.alias("part")).repartition("shard", "part")
+    rows = rows.select("row", F.concat(F.lit("b"), bits).alias("shard"), part.alias("part")).repartition(parts(docs.sparkSession), "shard", "part")
     rows.select("row", "shard").write.partitionBy("shard").parquet(path)
     return path
 
