@@ -1,9 +1,10 @@
 """A quality classifier of supervised subword embeddings.
 
-Word n-grams (one and two words) and character n-grams (three and four characters) are hashed into one table of
-learned vectors; a document is the average of its vectors, a softmax layer gives the probabilities of the labels, and
-stochastic gradient descent in numpy trains both on the gradient of the log loss. As the layer is linear in the
-average, a document's score is an average of one number for each feature, which is how whole texts are scored.
+Words, pairs of neighbouring words and the character n-grams of words (three and four characters) are hashed into one
+table of learned vectors. A word's vector is the mean of its own and the average of its n-grams'; a document is the
+average over its words and pairs, a softmax layer gives the probabilities of the labels, and stochastic gradient
+descent in numpy trains both on the gradient of the log loss. As the layer is linear in the average, a document's score
+is a weighted average of one number for each feature, which is how whole texts are scored.
 
 The model is fitted in one task on a bounded sample: TRAIN_DOCS labelled documents, those whose ids have the least
 hashes, each by at most TRAIN_CHARS characters (of a longer text its beginning, middle and end); every document is
@@ -30,6 +31,8 @@ from .store import long_id
 TRAIN_DOCS, TRAIN_CHARS = 4000, 60_000
 BUCKET_BITS, DIMENSION = 20, 8
 GRAMS = (3, 4)
+#: What part of a word its character n-grams are.
+SUBWORDS = 0.5
 #: Passes over the sample; first steps of the layer, its bias and the vectors, which fall to 0 in a line. A feature's
 #: part of a document is small, and so is the gradient of its vector: its steps are longer.
 EPOCHS, RATE, BIAS_RATE, VECTOR_RATE = 12, 0.5, 0.05, 30.0
@@ -37,26 +40,28 @@ THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
 
-def features(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, pairs of neighbouring words and character n-grams of a block's texts, and the text of each.
-    A character n-gram may begin or end with white space but holds none inside."""
+def features(block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of a block's words, their character n-grams and pairs of neighbouring words, the text of each, and what each
+    counts in its text's average: a pair 1, a word and its n-grams 1 together (SUBWORDS of it for the n-grams, if any)."""
     found = W.words(block, lower=True)
     data = W.LOWER[block.data]
     owner = W.owner(found.at)
     at, pair = W.windows(found, 2, 9)
-    out, text = [found.hash, pair], [owner, owner[at]]
-    begin = np.flatnonzero((data & 0xC0) != 0x80)
-    of = np.searchsorted(block.at, begin, "right") - 1
-    blank = np.r_[0, np.cumsum(~W.CLASSES["space"][data[begin]])]  # counts of full characters
-    stop = np.append(begin, len(data))
+    begin = np.flatnonzero(((data & 0xC0) != 0x80) & W.CLASSES["space"][data])  # characters of words
+    word = np.searchsorted(found.start, begin, "right") - 1
+    last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
+    end = np.where(last, found.end[word], np.append(begin[1:], len(data)))
+    grams, of = [], []
     for n in GRAMS:
         k = np.arange(max(0, len(begin) - n + 1))
-        inside = (of[k] == of[k + n - 1]) & (blank[k + n - 1] - blank[k + 1] == n - 2)
-        k = k[inside]
-        out.append(W.spans_hash(data, stop[k], stop[k + n]) + W.U64(n))
-        text.append(of[k])
-    bucket = (W.mix(np.concatenate(out), 5) >> W.U64(64 - BUCKET_BITS)).astype(np.int64)
-    return bucket, np.concatenate(text)
+        k = k[word[k] == word[k + n - 1]]
+        grams.append(W.spans_hash(data, begin[k], end[k + n - 1]) + W.U64(n))
+        of.append(word[k])
+    of = np.concatenate(of)
+    count = np.bincount(of, minlength=len(owner))
+    bucket = (W.mix(np.concatenate([found.hash, pair, *grams]), 5) >> W.U64(64 - BUCKET_BITS)).astype(np.int64)
+    share = np.concatenate([np.where(count > 0, 1 - SUBWORDS, 1.0), np.ones(len(at)), SUBWORDS / np.maximum(count, 1)[of]])
+    return bucket, np.concatenate([owner, owner[at], owner[of]]), share
 
 
 class Model:
@@ -66,10 +71,9 @@ class Model:
         self.weight, self.offset = weight, offset
 
     def scores(self, block: W.Block) -> np.ndarray:
-        bucket, text = features(block)
+        bucket, text, share = features(block)
         n = len(block.at) - 1
-        total = np.bincount(text, self.weight[bucket], n)
-        count = np.bincount(text, minlength=n)
+        total, count = np.bincount(text, self.weight[bucket] * share, n), np.bincount(text, share, n)
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.offset)))
 
 
@@ -107,12 +111,14 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(1).to_pylist()
         for block in W.blocks(batch.column(0)):
-            bucket, text = features(block)
+            bucket, text, share = features(block)
             order = np.argsort(text, kind="stable")
             at = np.searchsorted(text[order], np.arange(len(block.at)))
             for k in range(len(block.at) - 1):
-                some, n = np.unique(bucket[order[at[k] : at[k + 1]]], return_counts=True)
+                mine = order[at[k] : at[k + 1]]
+                some, where = np.unique(bucket[mine], return_inverse=True)
                 if len(some):
+                    n = np.bincount(where, share[mine])
                     docs.append((some, n / n.sum(), int(label[block.first + k])))
     if docs:
         m = train(docs)
