@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import poly_terms
 from ..schemas import PIXEL_IMAGES, SHIFTS
-from .spectral import by_shape, lists, matrices
+from .dense import by_shape, matrices
+from .spectral import lists
 
 _AT = ["dataset_id", "det_y", "det_x"]
 

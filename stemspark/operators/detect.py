@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.let import let
 from ..schemas import SCAN
-from .layout import explode_voxels
+from .dense import masked_sum, summed, totals
 from .select import flip_energy, in_annulus, in_disk
 
 
@@ -15,28 +16,19 @@ def _total(counts: Column | str) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
 
 
-def _pixel(k: Column) -> tuple[Column, Column]:
-    return F.floor(k / F.col("det_w")).cast("int"), (k % F.col("det_w")).cast("int")
-
-
-def _masked(frames: DataFrame, inside) -> DataFrame:
-    part = F.transform("counts", lambda c, k: F.when(inside(*_pixel(k)), c).otherwise(F.lit(0)))
-    return frames.select(*SCAN, _total(part).alias("value"))
-
-
 def scan_overview(frames: DataFrame) -> DataFrame:
     """Sum over the detector, for each scan position."""
     return frames.select(*SCAN, _total("counts").alias("value"))
 
 
 def virtual_bf(frames: DataFrame, cy: float, cx: float, radius: float) -> DataFrame:
-    """Sum inside a disk, for each scan position; row by row, nothing is shuffled."""
-    return _masked(frames, lambda y, x: in_disk(y, x, F.lit(cy), F.lit(cx), F.lit(radius)))
+    """Sum inside a disk, for each scan position; batch by batch, nothing is shuffled."""
+    return masked_sum(frames, lambda y, x, h, w: in_disk(y, x, cy, cx, radius))
 
 
 def virtual_df(frames: DataFrame, cy: float, cx: float, inner: float, outer: float) -> DataFrame:
     """Sum inside an annulus, for each scan position."""
-    return _masked(frames, lambda y, x: in_annulus(y, x, F.lit(cy), F.lit(cx), F.lit(inner), F.lit(outer)))
+    return masked_sum(frames, lambda y, x, h, w: in_annulus(y, x, cy, cx, inner, outer))
 
 
 def mean_bf(frames: DataFrame) -> DataFrame:
@@ -54,7 +46,7 @@ def apply_mask(voxels: DataFrame, mask: DataFrame) -> DataFrame:
 
 def energy_window_image(frames: DataFrame, e0: int = 10, e1: int = 200) -> DataFrame:
     """Sum over all detector rows and the channels e0 to e1 (excluded), clamped to the detector."""
-    return _masked(frames, lambda y, x: (x >= F.greatest(F.lit(e0), F.lit(0))) & (x < F.least(F.lit(e1), F.col("det_w"))))
+    return masked_sum(frames, lambda y, x, h, w: (x >= max(e0, 0)) & (x < min(e1, w)))
 
 
 def roi_spectrum(frames: DataFrame) -> DataFrame:
@@ -66,9 +58,8 @@ def roi_spectrum(frames: DataFrame) -> DataFrame:
 
 
 def sum_pattern(frames: DataFrame) -> DataFrame:
-    """Sum and mean over the scan of each detector pixel. Sums of each pixel are made before the shuffle."""
-    rows = explode_voxels(frames)
-    return rows.groupBy("dataset_id", "det_y", "det_x").agg(F.sum("count").cast("long").alias("total"), F.avg("count").alias("mean"))
+    """Sum and mean over the scan of each detector pixel. Frames are added up inside tasks."""
+    return summed(frames, totals).select("dataset_id", "det_y", "det_x", F.col("a").alias("total"), (F.col("a") / F.col("n")).alias("mean"))
 
 
 def bin_detector(frames: DataFrame, factor: int, method: str = "mean") -> DataFrame:
@@ -110,7 +101,6 @@ def process_cube(frames: DataFrame, bin_factor: int = 1, bin_method: str = "mean
 
 def detector_energy(frames: DataFrame, reference_energy: float = 1.0) -> DataFrame:
     """Sum of squares of each detector pixel's image times the reference's; less than 1e-9 counts as 1."""
-    c = F.col("count").cast("double")
-    total = explode_voxels(frames).groupBy("dataset_id", "det_y", "det_x").agg(F.sum(c * c).alias("e"))
-    norm = F.col("e") * reference_energy
+    total = summed(frames, totals, np.float64)
+    norm = F.col("b") * reference_energy
     return total.select("dataset_id", "det_y", "det_x", F.when(norm < 1e-9, F.lit(1.0)).otherwise(norm).alias("norm"))

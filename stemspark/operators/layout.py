@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.let import let
 from ..schemas import PIXEL_IMAGES
+from .dense import scattered
 from .meta import frame_position
 
 
@@ -23,10 +24,10 @@ def explode_voxels(frames: DataFrame) -> DataFrame:
 def frames_from_voxels(voxels: DataFrame, det_h: int, det_w: int, scan_w: int) -> DataFrame:
     """Frames in acquisition order of their pixels; pixels without a row are 0."""
     at = F.col("det_y") * det_w + F.col("det_x")
-    grouped = voxels.groupBy("dataset_id", "scan_y", "scan_x").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col("count").alias("v")))).alias("m"))
-    counts = let("m", lambda m: F.transform(F.sequence(F.lit(0), F.lit(det_h * det_w - 1)), lambda k: F.coalesce(F.element_at(m, k), F.lit(0)).cast("int")))
+    grouped = voxels.groupBy("dataset_id", "scan_y", "scan_x").agg(F.collect_list(F.struct(at.alias("k"), F.col("count").alias("v"))).alias("p"))
+    dense = scattered(grouped, F.lit(det_h * det_w), F.col("p.k"), F.col("p.v"))
     index = F.col("scan_y").cast("long") * scan_w + F.col("scan_x")
-    return grouped.select("dataset_id", index.alias("frame_idx"), "scan_y", "scan_x", F.lit(det_h).alias("det_h"), F.lit(det_w).alias("det_w"), counts.alias("counts"))
+    return dense.select("dataset_id", index.alias("frame_idx"), "scan_y", "scan_x", F.lit(det_h).alias("det_h"), F.lit(det_w).alias("det_w"), F.col("dense").alias("counts"))
 
 
 def frame_order(frames: DataFrame, scan_w: int) -> DataFrame:
@@ -121,9 +122,8 @@ def sparse_frames(frames: DataFrame) -> DataFrame:
 
 def frames_from_sparse(sparse: DataFrame) -> DataFrame:
     """The inverse of sparse_frames."""
-    places = F.sequence(F.lit(0), F.col("det_h") * F.col("det_w") - 1)
-    counts = let(F.map_from_arrays("idx", "val"), lambda m: F.transform(places, lambda k: F.coalesce(F.element_at(m, k), F.lit(0))))
-    return sparse.withColumn("counts", counts).drop("idx", "val")
+    item = sparse.schema["val"].dataType.elementType.simpleString()
+    return scattered(sparse, F.col("det_h") * F.col("det_w"), F.col("idx"), F.col("val"), item).withColumnRenamed("dense", "counts").drop("idx", "val")
 
 
 def saturated(count: Column) -> Column:

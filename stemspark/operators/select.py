@@ -123,8 +123,8 @@ def display_to_stored(p: Column, n: int) -> Column:
 
 
 def sample_positions(frames: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n scan positions that a seeded hash picks: the same whatever the partitions are."""
-    return frames.select(*SCAN).orderBy(F.xxhash64(F.lit(seed), *SCAN), *SCAN).limit(n)
+    """n scan positions that a seeded hash (MD5 of seed and position) picks: the same whatever the partitions are."""
+    return frames.select(*SCAN).orderBy(F.md5(F.concat_ws(",", F.lit(seed), *SCAN).cast("binary")), *SCAN).limit(n)
 
 
 def first_frames(frames: DataFrame, n: int) -> DataFrame:

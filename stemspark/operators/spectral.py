@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.let import let
 from ..functions.scalar import complex_abs, complex_phase
-from .layout import explode_voxels
+from .dense import by_shape, matrices, scattered, summed
 from .select import sample_positions
 
 SPECTRA = "dataset_id string, det_y int, det_x int, scan_h int, scan_w int, re array<double>, im array<double>"
@@ -24,20 +23,6 @@ def lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def matrices(column: pa.Array) -> np.ndarray:
-    """Lists of one length as rows of a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def by_shape(batch: pa.RecordBatch, h: int, w: int) -> Iterator[tuple[pa.RecordBatch, int, int]]:
-    """Parts of a batch whose scan extents (columns h and w) are equal."""
-    sizes = np.stack([batch.column(h).to_numpy(), batch.column(w).to_numpy()], 1)
-    for a, b in dict.fromkeys(map(tuple, sizes.tolist())):
-        which = np.flatnonzero((sizes == (a, b)).all(1))
-        yield batch.take(pa.array(which)), a, b
-
-
 def _fft_task(inverse: bool) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +55,12 @@ def frequencies(spectra: DataFrame) -> DataFrame:
 
 def dft_at(frames: DataFrame, ky: int, kx: int, scan_h: int, scan_w: int) -> DataFrame:
     """The pattern at one spatial frequency by a sum over frames, without the whole transform."""
-    angle = 2 * math.pi * (ky * F.col("scan_y") / scan_h + kx * F.col("scan_x") / scan_w)
-    rows = explode_voxels(frames)
-    return rows.groupBy("dataset_id", "det_y", "det_x").agg(F.sum(F.col("count") * F.cos(angle)).alias("re"), (-F.sum(F.col("count") * F.sin(angle))).alias("im"))
+
+    def weights(values: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[Callable, Callable]:
+        angle = 2 * math.pi * (ky * y / scan_h + kx * x / scan_w)  # one a frame
+        return (lambda mine: np.cos(angle[mine]) @ values[mine]), (lambda mine: -np.sin(angle[mine]) @ values[mine])
+
+    return summed(frames, weights, np.float64).select("dataset_id", "det_y", "det_x", F.col("a").alias("re"), F.col("b").alias("im"))
 
 
 def _in_range(column: str, lo: int, hi: int, n: int) -> Column:
@@ -102,9 +90,9 @@ def amplitude_phase(freqs: DataFrame) -> DataFrame:
 def gather_image(image: DataFrame) -> DataFrame:
     """An image in rows (dataset_id, y, x, value) as one row with img; it must fit in a task. Missing pixels are 0."""
     size = image.groupBy("dataset_id").agg((F.max("y") + 1).alias("scan_h"), (F.max("x") + 1).alias("scan_w"), F.collect_list(F.struct("y", "x", "value")).alias("p"))
-    places = F.map_from_entries(F.transform("p", lambda s: F.struct((s["y"] * F.col("scan_w") + s["x"]).alias("k"), s["value"].cast("double").alias("v"))))
-    img = let(places, lambda m: F.transform(F.sequence(F.lit(0), F.col("scan_h") * F.col("scan_w") - 1), lambda k: F.coalesce(F.element_at(m, k), F.lit(0.0))))
-    return size.select("dataset_id", F.lit(0).alias("det_y"), F.lit(0).alias("det_x"), F.col("scan_h").cast("int").alias("scan_h"), F.col("scan_w").cast("int").alias("scan_w"), img.alias("img"))
+    places = F.transform("p", lambda s: s["y"] * F.col("scan_w") + s["x"])
+    dense = scattered(size, F.col("scan_h") * F.col("scan_w"), places, F.col("p.value"), "double")
+    return dense.select("dataset_id", F.lit(0).alias("det_y"), F.lit(0).alias("det_x"), F.col("scan_h").cast("int").alias("scan_h"), F.col("scan_w").cast("int").alias("scan_w"), F.col("dense").alias("img"))
 
 
 def image_fft(image: DataFrame) -> DataFrame:

@@ -47,6 +47,16 @@ def compare_cubes(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select(*_AT, F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"), F.col("a").isNull().alias("missing_a"), F.col("b").isNull().alias("missing_b"))
 
 
+def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
+    """compare_cubes of two cubes of frames: frames meet by scan position, and their pixels side by side without a shuffle of
+    voxels."""
+    at = ["dataset_id", "scan_y", "scan_x"]
+    x, y = a.select(*at, F.col("det_w").alias("wa"), F.col("counts").alias("a")), b.select(*at, F.col("det_w").alias("wb"), F.col("counts").alias("b"))
+    both = x.join(y, at, "full").select(*at, F.coalesce("wa", "wb").alias("w"), F.posexplode(F.arrays_zip(F.coalesce("a", F.array().cast("array<int>")).alias("a"), F.coalesce("b", F.array().cast("array<int>")).alias("b"))).alias("pos", "v"))
+    zero = F.lit(0)
+    return both.select(*at, F.expr("cast(pos div w as int)").alias("det_y"), (F.col("pos") % F.col("w")).cast("int").alias("det_x"), F.coalesce("v.a", zero).alias("a"), F.coalesce("v.b", zero).alias("b"), F.col("v.a").isNull().alias("missing_a"), F.col("v.b").isNull().alias("missing_b"))
+
+
 def cube_diff_stats(compared: DataFrame) -> DataFrame:
     """Of compare_cubes(): range, mean and deviation of a - b, share that differs, voxels that only one side has as 0."""
     d = (F.col("a") - F.col("b")).cast("long")
@@ -66,9 +76,14 @@ def corruption_by_radius(compared: DataFrame, det_h: int, det_w: int) -> DataFra
 
 
 def sampled_match_rate(positions: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Percentage of sampled voxels that are equal in two cubes. positions has as many rows as were asked for."""
-    at = positions.select(*_AT)
-    both = at.join(a.select(*_AT, F.col("count").alias("a")), _AT, "left").join(b.select(*_AT, F.col("count").alias("b")), _AT, "left")
+    """Percentage of sampled voxels that are equal in two cubes of frames. positions has as many rows as were asked for.
+
+    Frames are narrowed to the sampled scan positions, and of each its pixel is taken; no cube is exploded."""
+    at, scan = positions.select(*_AT), ["dataset_id", "scan_y", "scan_x"]
+    wanted = at.select(*scan).distinct()
+    side = lambda t, n: t.select(*scan, F.col("det_w").alias(f"w{n}"), F.col("counts").alias(f"c{n}")).join(wanted, scan, "left_semi")
+    pixel = lambda n: F.when(F.col("det_x") < F.col(f"w{n}"), F.get(f"c{n}", F.col("det_y") * F.col(f"w{n}") + F.col("det_x"))).alias(n)
+    both = at.join(side(a, "a"), scan, "left").join(side(b, "b"), scan, "left").select(*_AT, pixel("a"), pixel("b"))
     return both.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("a").eqNullSafe(F.col("b")).cast("int"))).alias("percent_equal"))
 
 

@@ -138,6 +138,36 @@ def verify_written(spark, sf):
     return cubes.verify_written(spark, path, fx.extents(fx.table(spark, sf, "embeddings"), "emb", 8, 8))
 
 
+@query
+def verify_incomplete(spark, sf):
+    """Of a cube with every seventh frame left out, one that isn't there, and one with cut frames, none is well."""
+    frames, path = fx.frames(spark, sf), scratch.fresh(spark, "cube")
+    cut = F.when(F.col("frame_idx") % 5 == 0, F.slice("counts", 1, 60)).otherwise(F.col("counts"))
+    rows = frames.where("frame_idx % 7 <> 0").unionByName(frames.withColumns({"dataset_id": F.lit("cut"), "counts": cut}))
+    cubes.write_cube(rows, path)
+    sizes = fx.extents(fx.table(spark, sf, "embeddings"), "emb", 8, 8)
+    return cubes.verify_written(spark, path, sizes.unionByName(sizes.withColumn("dataset_id", F.lit("cut"))).unionByName(sizes.withColumn("dataset_id", F.lit("none"))))
+
+
+@query
+def truncated_frames(spark, sf):
+    """Detector files whose last frames are cut: each is read as far as it goes, and told."""
+    folder, short = _mib_folder(spark, sf), scratch.fresh(spark, "mib")
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    cut = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.expr("substring(content, 1, length(content) - 100)").alias("content"))
+    mib.write_files(cut, short).write.format("noop").mode("overwrite").save()
+    return spark.read.format("mib").load(short).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("truncated").alias("cut"))
+
+
+@query
+def export_structure(spark, sf):
+    """The inventory of a written table, through its JSON export."""
+    path, out = scratch.fresh(spark, "frames"), scratch.fresh(spark, "structure")
+    fx.frames(spark, sf).write.parquet(path)
+    cubes.export_structure(cubes.structure_inventory(spark, {"frames": path}), out)
+    return spark.read.schema("`table` string, n_rows long, `column` string, `type` string").json(out)
+
+
 @query
 def write_fft_result(spark, sf):
     path = scratch.fresh(spark, "fft")
@@ -435,7 +465,15 @@ def join_shift_map(spark, sf):
 
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
     frames = fx.frames(spark, sf)
-    return stats.compare_cubes(layout.explode_voxels(frames), layout.explode_voxels(fx.damaged(frames)))
+    return stats.compare_frames(frames, fx.damaged(frames))
+
+
+@query
+def compare_voxels(spark, sf):
+    """Two event-mode cubes, voxel by voxel: each lacks some that the other has."""
+    rows = fx.sparse(spark, sf)
+    some = lambda k: rows.where(f"(scan_y + scan_x * 3 + det_y * 5 + det_x) % 7 <> {k}")
+    return stats.compare_cubes(some(1), some(2)).where("missing_a or missing_b")
 
 
 @query
@@ -446,9 +484,8 @@ def compare_cubes(spark, sf):
 @query
 def sampled_match_rate(spark, sf):
     frames = fx.frames(spark, sf)
-    voxels = layout.explode_voxels(frames)
-    at = voxels.where("(scan_y * 7 + scan_x * 3 + det_y * 5 + det_x) % 11 = 0")
-    return _round(stats.sampled_match_rate(at, voxels, layout.explode_voxels(fx.damaged(frames))), "percent_equal")
+    at = layout.explode_voxels(frames).where("(scan_y * 7 + scan_x * 3 + det_y * 5 + det_x) % 11 = 0")
+    return _round(stats.sampled_match_rate(at, frames, fx.damaged(frames)), "percent_equal")
 
 
 @query
@@ -753,7 +790,7 @@ def run_timestamp(spark, sf):
 
 @query
 def saturating_split(spark, sf):
-    _, over = layout.overflow_encoding(fx.sparse(spark, sf))
+    _, over = layout.overflow_encoding(fx.sparse(spark, sf).withColumn("count", F.col("count") * 20))
     return over
 
 

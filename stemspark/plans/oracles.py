@@ -146,6 +146,11 @@ SQL: dict[str, str] = {
     "read_cube": _overview(),
     "write_cube": _with(_FRAMES, "SELECT dataset_id, scan_y, scan_x, det_y, det_x, CAST(count AS BIGINT) AS count FROM vx"),
     "write_spectra": _with(_EELS, "SELECT dataset_id, scan_y, scan_x, 15 - det_x AS channel, CAST(sum(count) AS DOUBLE) AS value FROM vx GROUP BY ALL"),
+    "verify_incomplete": _with(_SIZE, "SELECT unnest(['emb', 'cut', 'none']) AS dataset_id, n AS n_frames, unnest([n - (n + 6) // 7, n, 0]) AS found, FALSE AS ok FROM cnt"),
+    "truncated_frames": _with(_SIZE, "SELECT n AS n_rows, CAST((n + 99) // 100 AS BIGINT) AS cut FROM cnt"),
+    "export_structure": _with(
+        _SIZE, "SELECT 'frames' AS \"table\", n AS n_rows, c AS \"column\", t AS type FROM cnt, (SELECT unnest(['dataset_id', 'frame_idx', 'scan_y', 'scan_x', 'det_h', 'det_w', 'counts']) AS c, unnest(['string', 'bigint', 'int', 'int', 'int', 'int', 'array<int>']) AS t)"
+    ),
     "verify_written": _with(_SIZE, "SELECT 'emb' AS dataset_id, n AS n_frames, n AS found, TRUE AS ok FROM cnt"),
     "write_fft_result": _with(_DFT, f"SELECT dataset_id, det_y, det_x, ky, kx, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM ft WHERE ky < 2 AND kx < 3"),
     "detect_results": _with(_DATASETS, "SELECT dataset_id, CASE WHEN n_frames % 3 = 0 THEN 'cropped' ELSE 'full' END AS mode FROM ds WHERE n_frames % 2 = 1"),
@@ -210,6 +215,19 @@ SQL: dict[str, str] = {
     "join_context_image": _with(_FRAMES, "SELECT dataset_id, scan_y, scan_x, CAST(sum(count) AS BIGINT) AS total, CAST(any_value(label) AS INTEGER) AS value FROM vx JOIN embeddings ON vec_id = frame_idx GROUP BY ALL"),
     "join_reference_fft": _with(_DFT, f"SELECT f.det_y, f.det_x, ky, kx, {_r('f.re * r.re + f.im * r.im', 're', 1)}, {_r('f.im * r.re - f.re * r.im', 'im', 1)} FROM ft f JOIN (SELECT ky, kx, re, im FROM ft WHERE det_y = 0 AND det_x = 0) r USING (ky, kx)"),
     "join_shift_map": _with(_SHIFTS, f"SELECT det_y, det_x, shift_y, shift_x, {_r('quality', 'quality')}, CAST(value AS DOUBLE) AS total FROM sf JOIN pt USING (det_y, det_x) WHERE quality > 0.3"),
+    "compare_voxels": _with(
+        _EVENTS,
+        "SELECT dataset_id, scan_y, scan_x, det_y, det_x, CASE WHEN k = 1 THEN 0 ELSE count END AS a, CASE WHEN k = 2 THEN 0 ELSE count END AS b, k = 1 AS missing_a, k = 2 AS missing_b"
+        " FROM (SELECT *, (scan_y + scan_x * 3 + det_y * 5 + det_x) % 7 AS k FROM ev) WHERE k IN (1, 2)",
+    ),
+    "sample_positions": _with(_FRAMES, "SELECT dataset_id, scan_y, scan_x FROM (SELECT DISTINCT dataset_id, scan_y, scan_x FROM vx) ORDER BY md5(concat_ws(',', '42', dataset_id, scan_y, scan_x)), 1, 2, 3 LIMIT 50"),
+    "sampled_spectral_map": _with(
+        _FRAMES,
+        f"""SELECT dataset_id, scan_y, scan_x, {_r('avg(sqrt(re * re + im * im))', 'value', 4)} FROM (
+          SELECT dataset_id, scan_y, scan_x, ky, kx, sum(count * cos(2 * pi() * (ky * det_y + kx * det_x) / 8.0::DOUBLE)) AS re, sum(count * sin(2 * pi() * (ky * det_y + kx * det_x) / 8.0::DOUBLE)) AS im
+          FROM vx JOIN (SELECT dataset_id, scan_y, scan_x FROM (SELECT DISTINCT dataset_id, scan_y, scan_x FROM vx) ORDER BY md5(concat_ws(',', '42', dataset_id, scan_y, scan_x)), 1, 2, 3 LIMIT 25) USING (dataset_id, scan_y, scan_x),
+            (SELECT unnest(range(0, 8)) AS ky), (SELECT unnest(range(0, 8)) AS kx) GROUP BY ALL) GROUP BY ALL""",
+    ),
     "compare_cubes": _with(_COMPARED, "SELECT *, FALSE AS missing_a, FALSE AS missing_b FROM cp WHERE a <> b"),
     "sampled_match_rate": _with(_COMPARED, f"SELECT dataset_id, count(*) AS n, {_r('100 * avg(CAST(a = b AS INTEGER))', 'percent_equal')} FROM cp WHERE (scan_y * 7 + scan_x * 3 + det_y * 5 + det_x) % 11 = 0 GROUP BY dataset_id"),
     "interpolation_neighbours": _with(
@@ -281,7 +299,7 @@ SQL: dict[str, str] = {
     "header_fields": _with(_DATASETS, "SELECT dataset_id, '00384' AS size, det_w AS w, det_h AS h, CAST(NULL AS INTEGER) AS none FROM ds"),
     "attr_json": _with(_DATASETS, """SELECT dataset_id, CASE WHEN n_frames % 2 = 0 THEN '{"frames":' || n_frames || '}' ELSE 'frames ' || n_frames END AS attr FROM ds"""),
     "run_timestamp": _with(_RUNS, "SELECT run_id, dataset_id || '_superres_' || strftime(ts, '%Y%m%d_%H%M%S') AS name, TRUE AS same FROM rn"),
-    "saturating_split": _with(_EVENTS, "SELECT dataset_id, scan_y, scan_x, det_y, det_x, count FROM ev WHERE count >= 255"),
+    "saturating_split": _with(_EVENTS, "SELECT dataset_id, scan_y, scan_x, det_y, det_x, count * 20 AS count FROM ev WHERE count * 20 >= 255"),
     "overflow_encoding": _with(_EVENTS, f"SELECT dataset_id, count(*) AS n, count(*) FILTER (WHERE count * 20 >= 255) AS overflow, {_r('count(*) FILTER (WHERE count * 20 >= 255) / count(*)', 'share')}, {_r('2 * count(*) / (count(*) + 13 * count(*) FILTER (WHERE count * 20 >= 255))', 'ratio')} FROM ev GROUP BY dataset_id"),
     "sparse_frames": _with(_DAMAGED, "SELECT dataset_id, scan_y, scan_x, det_y, det_x, CAST(count AS BIGINT) AS count FROM dm"),
     "pixel_weights": _with(

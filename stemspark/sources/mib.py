@@ -289,3 +289,21 @@ def write_mib(frames, folder: str, frames_per_file: int, pixel: str = "U16", hea
     name = F.concat(F.lit("part-"), F.expr(f"cast(frame_idx div {frames_per_file} as string)"))
     rows = frames.select(name.alias("file"), "frame_idx", "det_h", "det_w", "counts")
     return rows.groupBy("file").applyInArrow(_write_task(folder, pixel, header_bytes), "file string, n_frames bigint")
+
+
+def _copy_task(folder: str):
+    def task(batches):
+        fs, at = _fs(folder)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{at}/{name}", compression=None) as f:
+                    f.write(content)
+            yield batch.select([0])
+
+    return task
+
+
+def write_files(files, folder: str):
+    """Files (name, content) as they are, under a folder; returns their names once they are written."""
+    return files.select("name", "content").mapInArrow(_copy_task(folder), "name string")

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path; where spark.checkpoint.dir is unset, as in tests on one machine, under the temp folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    """A new path; where spark.checkpoint.dir is unset, under the temp folder, on a single machine only."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them reach")
+    root = root or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
