@@ -82,8 +82,9 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id") ->
 def write(docs: DataFrame, path: str | None = None, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> str:
     """Write docs under path, a folder for each shard (shard=b and its bits), and return the path.
 
-    Texts move once, to at least as many tasks as there are shards. A shard is one task's, and its bytes are bounded by the limit; one that is oversized (rows of one
-    id) is dealt over as many tasks as it has limits."""
+    Texts move once, to at least as many tasks as there are shards. Each task has an equal part of the range of keys, and
+    a shard goes to the task in whose part it begins: keys are uniform, so a task writes about its part of all bytes and
+    a shard more at most. A shard that is oversized (rows of one id) is dealt over as many tasks as it has limits."""
     path = path or fresh(docs.sparkSession, "shards")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.struct("*")).alias("salt"), key(F.col(id_col)).alias("key"))
     found = directory(docs, limit, id_col)
@@ -91,7 +92,10 @@ def write(docs: DataFrame, path: str | None = None, limit: int = SHARD_BYTES, id
     n_shards = sum(cells.where("depth is not null").select("depth", "shard").distinct().count() for _, cells in found)
     bits = F.when(F.col("depth") > 0, F.lpad(F.bin("shard"), F.col("depth"), F.lit("0"))).otherwise(F.lit(""))
     part = F.when(F.col("oversized"), F.pmod("salt", F.ceil(F.col("shard_bytes") / limit))).otherwise(F.lit(0).cast("long"))
-    rows = rows.select("row", F.concat(F.lit("b"), bits).alias("shard"), part.alias("part")).repartition(max(parts(docs.sparkSession), n_shards), "shard", "part")
+    n = max(parts(docs.sparkSession), n_shards)
+    begin = F.expr(f"shiftright(shiftleft(shard, {BITS} - depth), {BITS // 2})")
+    task = F.pmod(F.shiftright(begin * n, BITS // 2) + part, F.lit(n)).cast("int")
+    rows = rows.select("row", F.concat(F.lit("b"), bits).alias("shard"), task.alias("task")).repartitionById(n, "task")
     rows.select("row", "shard").write.partitionBy("shard").parquet(path)
     return path
 
