@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +173,25 @@ def export_structure(spark, sf):
     return spark.read.schema("`table` string, n_rows long, `column` string, `type` string").json(out)
 
 
+def _ndata_file(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A row of the context image as a zip file of an array and its metadata."""
+    image, out = io.BytesIO(), io.BytesIO()
+    np.save(image, rows.sort_values("scan_x")["value"].to_numpy()[None, :])
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("data.npy", image.getvalue())
+        z.writestr("metadata.json", json.dumps({"row": int(key[0])}))
+    return pd.DataFrame({"name": [f"row-{key[0]}.ndata1"], "content": [out.getvalue()]})
+
+
+@query
+def read_ndata(spark, sf):
+    """Context images of one scan row each, written as files and read back."""
+    folder = scratch.fresh(spark, "ndata")
+    files = fx.context(spark, sf).groupBy("scan_y").applyInPandas(_ndata_file, "name string, content binary")
+    mib.write_files(files, folder).write.format("noop").mode("overwrite").save()
+    return cubes.read_ndata(spark, folder)
+
+
 @query
 def write_fft_result(spark, sf):
     path = scratch.fresh(spark, "fft")
@@ -1063,6 +1087,32 @@ def late_duplicate_frames(spark, sf):
     return _streamed(spark, rows.unionByName(rows), lambda s: live.first_arrivals(s, "3650 days")).select("dataset_id", "frame_idx")
 
 
+def _two_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, list[dict]]:
+    """A stream of first arrivals that stops after half of the events and goes on from its checkpoint when the rest is
+    there: the table that both runs wrote, and the metrics of each run."""
+    source, target, checkpoint = (scratch.fresh(spark, n) for n in ("arriving", "live", "live-checkpoint"))
+    rows = fx.arrivals(spark, sf).select("dataset_id", "frame_idx", "ts")
+    told = []
+    for half in (0, 1):
+        rows.where(F.col("frame_idx") % 2 == half).coalesce(1).write.mode("append").parquet(source)
+        stream = live.first_arrivals(live.read_frames_stream(spark, source, rows.schema), "3650 days")
+        q = live.run_to_table(stream, target, checkpoint)
+        q.awaitTermination()
+        told.append(live.progress_metrics(q, rows.count()))
+    return spark.read.schema(rows.schema).parquet(target), told
+
+
+@query
+def stop_resume(spark, sf):
+    return _two_runs(spark, sf)[0].select("dataset_id", "frame_idx")
+
+
+@query
+def progress_metrics(spark, sf):
+    told = _two_runs(spark, sf)[1]
+    return spark.createDataFrame([(k + 1, m["rows"], m["percent"]) for k, m in enumerate(told)], "run int, rows long, percent double").transform(_round, "percent")
+
+
 @query
 def completion_state(spark, sf):
     """The last state of the counts, from a stream in update mode."""

@@ -56,34 +56,72 @@ def _disk(inside: str, y: str = "det_y", x: str = "det_x") -> str:
     return inside.format(d=f"(({x} - 4) * ({x} - 4) + ({y} - 4) * ({y} - 4))")
 
 
-#: The central pixel's image smoothed along both axes (sigma 0.5, two places to each side, mirrored ends), correlations
-#: with it at every lag, and their greatest.
+#: Every image smoothed along both axes (sigma 0.5, two places to each side, mirrored ends).
 _SMOOTH = """
 kr AS (SELECT k, exp(-2.0 * k * k) / (SELECT sum(exp(-2.0 * j * j)) FROM (SELECT unnest(range(-2, 3)) AS j)) AS w FROM (SELECT unnest(range(-2, 3)) AS k)),
 ya AS (SELECT y, k, w, CASE WHEN y + k < 0 THEN -1 - y - k WHEN y + k >= sh THEN 2 * sh - 1 - y - k ELSE y + k END AS src FROM (SELECT unnest(range(0, sh)) AS y, sh FROM sz), kr),
 xa AS (SELECT x, k, w, CASE WHEN x + k < 0 THEN -1 - x - k WHEN x + k >= sw THEN 2 * sw - 1 - x - k ELSE x + k END AS src FROM (SELECT unnest(range(0, sw)) AS x, sw FROM sz), kr),
 va AS (SELECT det_y, det_x, y, scan_x, sum(w * count) AS c FROM vx JOIN ya ON scan_y = src GROUP BY ALL),
 sm AS (SELECT det_y, det_x, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, sum(w * c) AS value FROM va JOIN xa ON scan_x = src GROUP BY ALL)"""
-_CORR = (
-    _FRAMES
-    + ","
-    + _SMOOTH
-    + """,
-ref AS (SELECT y, x, value AS r FROM sm WHERE det_y = 4 AND det_x = 4),
-lg AS (SELECT ly, unnest(range(0, sw)) AS lx FROM (SELECT unnest(range(0, sh)) AS ly, sw FROM sz)),
-pr AS (SELECT ly, lx, y, x, r, (y + ly) % sh AS py, (x + lx) % sw AS px FROM ref, lg, sz),
-cc AS (SELECT det_y, det_x, ly, lx, sum(count * r) AS c FROM pr JOIN vx ON scan_y = py AND scan_x = px GROUP BY ALL),
-nm AS (SELECT det_y, det_x, sum(count * count) * (SELECT sum(r * r) FROM ref) AS norm FROM vx GROUP BY ALL),
-co AS (SELECT det_y, det_x, CAST((ly + sh // 2) % sh AS INTEGER) AS lag_y, CAST((lx + sw // 2) % sw AS INTEGER) AS lag_x, c * c / norm AS corr FROM cc JOIN nm USING (det_y, det_x), sz),
-pk AS (SELECT det_y, det_x, lag_y AS peak_y, lag_x AS peak_x, corr AS peak FROM (SELECT *, row_number() OVER (PARTITION BY det_y, det_x ORDER BY round(corr, 12) DESC, lag_y, lag_x) AS k FROM co) WHERE k = 1),
-nb AS (SELECT p.*, max(CASE WHEN lag_y = peak_y - 1 AND lag_x = peak_x THEN corr END) AS up, max(CASE WHEN lag_y = peak_y + 1 AND lag_x = peak_x THEN corr END) AS down,
+
+def _shifts_to(ref: str, k: str = "") -> str:
+    """Correlations of every image with a reference (y, x, r) at every lag, their greatest, and its place refined: sq."""
+    return f"""
+ref{k} AS ({ref}),
+pr{k} AS (SELECT ly, lx, y, x, r, (y + ly) % sh AS py, (x + lx) % sw AS px FROM ref{k}, lg, sz),
+cc{k} AS (SELECT det_y, det_x, ly, lx, sum(count * r) AS c FROM pr{k} JOIN vx ON scan_y = py AND scan_x = px GROUP BY ALL),
+nm{k} AS (SELECT det_y, det_x, sum(count * count) * (SELECT sum(r * r) FROM ref{k}) AS norm FROM vx GROUP BY ALL),
+co{k} AS (SELECT det_y, det_x, CAST((ly + sh // 2) % sh AS INTEGER) AS lag_y, CAST((lx + sw // 2) % sw AS INTEGER) AS lag_x, c * c / norm AS corr FROM cc{k} JOIN nm{k} USING (det_y, det_x), sz),
+pk{k} AS (SELECT det_y, det_x, lag_y AS peak_y, lag_x AS peak_x, corr AS peak FROM (SELECT *, row_number() OVER (PARTITION BY det_y, det_x ORDER BY round(corr, 12) DESC, lag_y, lag_x) AS k FROM co{k}) WHERE k = 1),
+nb{k} AS (SELECT p.*, max(CASE WHEN lag_y = peak_y - 1 AND lag_x = peak_x THEN corr END) AS up, max(CASE WHEN lag_y = peak_y + 1 AND lag_x = peak_x THEN corr END) AS down,
   max(CASE WHEN lag_y = peak_y AND lag_x = peak_x - 1 THEN corr END) AS "left", max(CASE WHEN lag_y = peak_y AND lag_x = peak_x + 1 THEN corr END) AS "right",
   max(CASE WHEN lag_y = peak_y - 1 AND lag_x = peak_x - 1 THEN corr END) AS c00, max(CASE WHEN lag_y = peak_y - 1 AND lag_x = peak_x + 1 THEN corr END) AS c02,
   max(CASE WHEN lag_y = peak_y + 1 AND lag_x = peak_x - 1 THEN corr END) AS c20, max(CASE WHEN lag_y = peak_y + 1 AND lag_x = peak_x + 1 THEN corr END) AS c22
-  FROM pk p JOIN co USING (det_y, det_x) GROUP BY ALL),
-si AS (SELECT *, peak_y BETWEEN 1 AND sh - 2 AND peak_x BETWEEN 1 AND sw - 2 AS inside, down - 2 * peak + up AS dyy, "right" - 2 * peak + "left" AS dxx FROM nb, sz),
-sq AS (SELECT det_y, det_x, CASE WHEN inside THEN peak_y - coalesce((down - up) / nullif(CASE WHEN dyy <= 1e-3 THEN dyy ELSE 1e6 END, 0), 0) / 2 ELSE peak_y END AS shift_y,
-  CASE WHEN inside THEN peak_x - coalesce(("right" - "left") / nullif(CASE WHEN dxx <= 1e-3 THEN dxx ELSE 1e6 END, 0), 0) / 2 ELSE peak_x END AS shift_x, peak AS quality FROM si)"""
+  FROM pk{k} p JOIN co{k} USING (det_y, det_x) GROUP BY ALL),
+si{k} AS (SELECT *, peak_y BETWEEN 1 AND sh - 2 AND peak_x BETWEEN 1 AND sw - 2 AS inside, down - 2 * peak + up AS dyy, "right" - 2 * peak + "left" AS dxx FROM nb{k}, sz),
+sq{k} AS (SELECT det_y, det_x, CASE WHEN inside THEN peak_y - coalesce((down - up) / nullif(CASE WHEN dyy <= 1e-3 THEN dyy ELSE 1e6 END, 0), 0) / 2 ELSE peak_y END AS shift_y,
+  CASE WHEN inside THEN peak_x - coalesce(("right" - "left") / nullif(CASE WHEN dxx <= 1e-3 THEN dxx ELSE 1e6 END, 0), 0) / 2 ELSE peak_x END AS shift_x, peak AS quality FROM si{k})"""
+
+
+_LAGS = "lg AS (SELECT ly, unnest(range(0, sw)) AS lx FROM (SELECT unnest(range(0, sh)) AS ly, sw FROM sz))"
+_CORR = f"{_FRAMES},{_SMOOTH},\n{_LAGS}," + _shifts_to("SELECT y, x, value AS r FROM sm WHERE det_y = 4 AND det_x = 4")
+#: Reference from two opposing pixels: the second's shift against the first, each image moved by half of it, their mean.
+_PAIR = (
+    f"{_FRAMES},\n{_LAGS},"
+    + _shifts_to("SELECT scan_y AS y, scan_x AS x, count AS r FROM vx WHERE det_y = 4 AND det_x = 2", "0")
+    + """,
+bt AS (SELECT (shift_y - sh // 2) / 2 AS dy, (shift_x - sw // 2) / 2 AS dx FROM sq0, sz WHERE det_y = 4 AND det_x = 6),
+mv AS (SELECT 2 AS det_x, -dy AS dy, -dx AS dx FROM bt UNION ALL SELECT 6, dy, dx FROM bt),
+pp AS (SELECT det_x, y, x, y - dy AS sy, x - dx AS sx, sh, sw FROM mv, (SELECT y, unnest(range(0, sw)) AS x, sh, sw FROM (SELECT unnest(range(0, sh)) AS y, sh, sw FROM sz))),
+pi_ AS (SELECT *, floor(sy) AS y0, floor(sx) AS x0 FROM pp WHERE sy BETWEEN 0 AND sh - 1 AND sx BETWEEN 0 AND sw - 1),
+pc AS (SELECT p.y, p.x, p.det_x, sum((CASE WHEN scan_y = y0 THEN 1 - sy + y0 ELSE sy - y0 END) * (CASE WHEN scan_x = x0 THEN 1 - sx + x0 ELSE sx - x0 END) * count) AS v
+  FROM pi_ p JOIN vx ON vx.det_y = 4 AND vx.det_x = p.det_x AND scan_y IN (y0, y0 + 1) AND scan_x IN (x0, x0 + 1) GROUP BY ALL),
+pm AS (SELECT y, x, avg(v) AS v FROM pc GROUP BY ALL),"""
+    + _shifts_to("SELECT g.y, g.x, coalesce(v, 0) AS r FROM (SELECT DISTINCT y, x FROM pp) g LEFT JOIN pm USING (y, x)")
+    + """,
+rg AS (SELECT * FROM sq WHERE (det_y - 4) ** 2 + (det_x - 4) ** 2 BETWEEN 4 AND 9)"""
+)
+#: Polynomials of degree 0 to 4 that are orthogonal on eight places (fixed values), and the part of the shifts that each of
+#: their products explains; products are orthogonal on the 8 x 8 detector.
+_ORTHOGONAL = (
+    _SHIFTS
+    + """,
+op AS (SELECT k, t - 1 AS t, v[t] AS p FROM (SELECT *, unnest(range(1, 9)) AS t FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([[1, 1, 1, 1, 1, 1, 1, 1], [-7, -5, -3, -1, 1, 3, 5, 7],
+  [7, 1, -3, -5, -5, -3, 1, 7], [-7, 5, 7, 3, -3, -7, -5, 7], [7, -13, -3, 9, 9, -3, -13, 7]]) AS v))),
+ex AS (SELECT a.k + b.k AS degree, (sum(shift_y * a.p * b.p) ** 2 + sum(shift_x * a.p * b.p) ** 2) / sum(a.p * a.p * b.p * b.p) AS part
+  FROM ce JOIN op a ON a.t = det_y JOIN op b ON b.t = det_x GROUP BY a.k, b.k)"""
+)
+#: Images on a grid twice as fine by cubic convolution (a = -0.75), rows first, mirrored at their ends.
+_CUBIC = "CASE WHEN d <= 1 THEN (1.25::DOUBLE * d - 2.25::DOUBLE) * d * d + 1 ELSE ((-0.75::DOUBLE * d + 3.75::DOUBLE) * d - 6) * d + 3 END"
+_FINE = "{t} AS (SELECT det_y, det_x, o, CAST(CASE WHEN m < n THEN m ELSE 2 * (n - 1) - m END AS INTEGER) AS src, " + _CUBIC + """ AS w FROM (
+  SELECT *, ((f + k) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) AS m, abs(place - f - k) AS d FROM (SELECT *, CAST(floor(place) AS BIGINT) AS f FROM (
+    SELECT *, o * (n - 1) / (2 * n - 1) - s AS place FROM (SELECT det_y, det_x, {s} AS s, {n} AS n, unnest(range(0, 2 * {n})) AS o FROM ce, sz))), (SELECT unnest(range(-1, 3)) AS k)))"""
+_BICUBIC = (
+    _SHIFTS
+    + ",\n" + _FINE.format(t="wy", s="shift_y", n="sh") + ",\n" + _FINE.format(t="wx", s="shift_x", n="sw")
+    + """,
+rw AS (SELECT det_y, det_x, o AS y, scan_x, sum(w * count) AS c FROM vx JOIN wy USING (det_y, det_x) WHERE scan_y = src GROUP BY ALL),
+cl AS (SELECT y, o AS x, sum(w * c) AS total FROM rw JOIN wx USING (det_y, det_x) WHERE scan_x = src GROUP BY ALL)"""
 )
 
 
@@ -152,6 +190,7 @@ SQL: dict[str, str] = {
         _SIZE, "SELECT 'frames' AS \"table\", n AS n_rows, c AS \"column\", t AS type FROM cnt, (SELECT unnest(['dataset_id', 'frame_idx', 'scan_y', 'scan_x', 'det_h', 'det_w', 'counts']) AS c, unnest(['string', 'bigint', 'int', 'int', 'int', 'int', 'array<int>']) AS t)"
     ),
     "verify_written": _with(_SIZE, "SELECT 'emb' AS dataset_id, n AS n_frames, n AS found, TRUE AS ok FROM cnt"),
+    "read_ndata": _with(_CONTEXT, """SELECT 'row-' || y AS dataset_id, CAST(0 AS INTEGER) AS y, x, CAST(value AS DOUBLE) AS value, '{"row": ' || y || '}' AS metadata FROM cx"""),
     "write_fft_result": _with(_DFT, f"SELECT dataset_id, det_y, det_x, ky, kx, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM ft WHERE ky < 2 AND kx < 3"),
     "detect_results": _with(_DATASETS, "SELECT dataset_id, CASE WHEN n_frames % 3 = 0 THEN 'cropped' ELSE 'full' END AS mode FROM ds WHERE n_frames % 2 = 1"),
     "codec_study": _with(_SIZE, "SELECT codec, layout, n * 128 AS raw_bytes, TRUE AS written FROM cnt, (SELECT unnest(['none', 'snappy', 'gzip', 'zstd', 'lz4_raw']) AS codec), (SELECT unnest(['frame', 'voxel']) AS layout)"),
@@ -338,6 +377,7 @@ SQL: dict[str, str] = {
     "fit_moments": _with(_SHIFTS, f"SELECT {_MOMENTS} FROM (SELECT *, det_y - 4.0::DOUBLE AS u, det_x - 4.0::DOUBLE AS v, quality + 1e-12 AS w FROM ce)"),
     "fit_distortion": _with(_PLANE, f"SELECT CAST(0 AS INTEGER) AS term, {_r('ay', 'coef_y', 8)}, {_r('ax', 'coef_x', 8)} FROM pl UNION ALL SELECT 1, {_r('uy', 'coef_y', 8)}, {_r('ux', 'coef_x', 8)} FROM pl UNION ALL SELECT 2, {_r('vy', 'coef_y', 8)}, {_r('vx_', 'coef_x', 8)} FROM pl"),
     "distortion_residuals": _with(_PLANE, f"SELECT det_y, det_x, {_r('shift_y - ay - uy * (det_y - 3.5) - vy * (det_x - 3.5)', 'ry', 8)}, {_r('shift_x - ax - ux * (det_y - 3.5) - vx_ * (det_x - 3.5)', 'rx', 8)} FROM ce, pl"),
+    "best_order": _with(_ORTHOGONAL, f"SELECT CAST(fit_order AS INTEGER) AS fit_order, {_r('sqrt(((SELECT sum(shift_y ** 2 + shift_x ** 2) FROM ce) - sum(part)) / 64)', 'rmse_vector', 4)} FROM ex JOIN (SELECT unnest([1, 2, 3, 4]) AS fit_order) ON degree <= fit_order GROUP BY fit_order"),
     "reconstruct_superres": _with(_SHIFTS + "," + _superres("sf", 0.3) % 6, "SELECT y, x, value, n FROM sr"),
     "contribution_map": _with(_SHIFTS + "," + _superres("sf", 0.3) % 6, "SELECT y, x, n AS value FROM sr"),
     "superres_pipeline": _with(_CORR + "," + _superres("sq", 0.01) % 4, "SELECT y, x, value, n FROM sr"),
@@ -354,11 +394,15 @@ SQL: dict[str, str] = {
         _SHIFTS + ", pos AS (SELECT det_y, det_x, y, x, round_even(y + shift_y + 0.25, 0) AS py, round_even(x + shift_x + 0.25, 0) AS px FROM ce, (SELECT y, unnest(range(0, sw)) AS x FROM (SELECT unnest(range(0, sh)) AS y, sw FROM sz))), val AS (SELECT y, x, sum(count) AS total, count(*) AS n FROM pos JOIN vx USING (det_y, det_x) WHERE scan_y = py AND scan_x = px AND count <> 0 GROUP BY ALL)",
         f"SELECT CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x, {_r('coalesce(total / n, 0)', 'value')}, coalesce(n, 0) AS n FROM (SELECT DISTINCT y, x FROM pos) g LEFT JOIN val USING (y, x)",
     ),
+    "align_bicubic": _with(_BICUBIC, f"SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {_r('total / 64', 'value')}, CAST(64 AS BIGINT) AS n FROM cl"),
+    "adf_pairwise": _with(_PAIR + "," + _superres("rg", 0.01) % 4, "SELECT y, x, value, n FROM sr"),
     "virtual_adf_reference": _with(_FRAMES, _disk("SELECT CAST(frame_idx AS INTEGER) AS k, CAST(sum(count) AS DOUBLE) AS value FROM vx WHERE {d} BETWEEN 4 AND 9 GROUP BY frame_idx")),
     # streams
     "read_frames_stream": _overview(),
     "progressive_spectra": _with(_EELS, "SELECT dataset_id, scan_y, scan_x, 0 AS det_y, 15 - det_x AS det_x, CAST(sum(count) AS BIGINT) AS count FROM vx GROUP BY ALL"),
     "live_virtual_images": _with(_FRAMES, f"SELECT dataset_id, scan_y, scan_x, CAST(sum(CASE WHEN {_disk('{d} <= 1')} THEN count ELSE 0 END) AS BIGINT) AS bf, CAST(sum(CASE WHEN {_disk('{d} BETWEEN 4 AND 9')} THEN count ELSE 0 END) AS BIGINT) AS df FROM vx GROUP BY ALL"),
     "late_duplicate_frames": _with(_ARRIVALS, "SELECT DISTINCT dataset_id, frame_idx FROM ar"),
+    "stop_resume": _with(_ARRIVALS, "SELECT DISTINCT dataset_id, frame_idx FROM ar"),
+    "progress_metrics": "SELECT CAST(run AS INTEGER) AS run, count(*) AS rows, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM events), 6) + 0.0 AS percent FROM (SELECT event_id % 2 + 1 AS run FROM events) GROUP BY run",
     "completion_state": _with(_ARRIVALS, f"SELECT dataset_id, count(DISTINCT frame_idx) AS received, {_r('100 * count(DISTINCT frame_idx) / max(n_frames)', 'percent')} FROM ad JOIN ar USING (dataset_id) GROUP BY dataset_id"),
 }
