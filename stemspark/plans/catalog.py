@@ -234,18 +234,23 @@ def run_stages(spark, sf):
     store = RunStore(spark, scratch.fresh(spark, "runs"))
     superres.superres(fx.frames(spark, sf), _whole(spark, sf), lims=3, threshold=0.1, store=store, run_id="r1")
     info = meta.run_info(store.runs().drop("params"), store.stages())
-    return info.select("run_id", "dataset_id", "step_completed", "has_bigft", "has_correlations")
+    sizes = [F.lit(spark.read.parquet(store.path("r1", step)).count()).alias(n) for step, n in ((2, "n_images"), (4, "n_shifts"), (5, "n_pixels"))]
+    return info.select("run_id", "dataset_id", "step_completed", "has_bigft", "has_correlations", *sizes)
 
 
 @query
 def purge_runs(spark, sf):
-    """Of two runs one is purged; the other's stage stays."""
+    """A run for each region, its nations as a stage; those of odd keys are purged and the stages of the others stay."""
     store = RunStore(spark, scratch.fresh(spark, "runs"))
-    for run_id in ("a", "b"):
-        store.start(run_id, "emb", {})
-        store.write_stage(run_id, "emb", 2, detect.scan_overview(fx.frames(spark, sf)), {})
-    store.purge("run_id = 'a'")
-    return store.runs().select("run_id", "step_completed").join(store.stages().select("run_id", "stage"), "run_id")
+    nations = fx.table(spark, sf, "nation").select("n_regionkey", "n_name")
+    regions = sorted(r[0] for r in fx.table(spark, sf, "region").select("r_regionkey").collect())
+    for key in regions:
+        store.start(f"r{key}", "nations", {})
+        store.write_stage(f"r{key}", "nations", 2, nations.where(F.col("n_regionkey") == key), {})
+    store.purge("cast(substring(run_id, 2) as int) % 2 = 1")
+    left = spark.read.option("basePath", f"{store.folder}/bigft").parquet(f"{store.folder}/bigft").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    found = store.runs().select("run_id", "step_completed").join(store.stages().select("run_id", "stage"), "run_id")
+    return found.join(left, "run_id")
 
 
 # --- metadata --------------------------------------------------------------------------------------------------------

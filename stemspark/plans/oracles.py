@@ -199,8 +199,8 @@ SQL: dict[str, str] = {
         "SELECT 'frames' AS \"table\", n AS n_rows, c AS \"column\", t AS type FROM cnt, (SELECT unnest(['dataset_id', 'frame_idx', 'scan_y', 'scan_x', 'det_h', 'det_w', 'counts']) AS c, unnest(['string', 'bigint', 'int', 'int', 'int', 'int', 'array<int>']) AS t)"
         " UNION ALL SELECT 'sparse', n, c, t FROM cnt, (SELECT unnest(['dataset_id', 'frame_idx', 'scan_y', 'scan_x', 'det_h', 'det_w', 'idx', 'val']) AS c, unnest(['string', 'bigint', 'int', 'int', 'int', 'int', 'array<int>', 'array<int>']) AS t)",
     ),
-    "run_stages": "SELECT 'r1' AS run_id, 'emb' AS dataset_id, CAST(5 AS INTEGER) AS step_completed, TRUE AS has_bigft, FALSE AS has_correlations",
-    "purge_runs": "SELECT 'b' AS run_id, CAST(2 AS INTEGER) AS step_completed, 'bigft' AS stage",
+    "run_stages": _with(_SIZE, "SELECT 'r1' AS run_id, 'emb' AS dataset_id, CAST(5 AS INTEGER) AS step_completed, TRUE AS has_bigft, FALSE AS has_correlations, CAST(64 AS BIGINT) AS n_images, CAST(64 AS BIGINT) AS n_shifts, CAST((sh * 4 + 16) * (sw * 4 + 16) AS BIGINT) AS n_pixels FROM sz"),
+    "purge_runs": "SELECT 'r' || n_regionkey AS run_id, CAST(2 AS INTEGER) AS step_completed, 'bigft' AS stage, count(*) AS n_rows FROM nation WHERE n_regionkey % 2 = 0 GROUP BY n_regionkey",
     # metadata
     "frame_count": _with(_DATASETS, "SELECT dataset_id, CAST(file_size // (384 + 2 * CAST(det_h AS BIGINT) * det_w) AS BIGINT) AS frames FROM dz"),
     "infer_scan_size": _with(_DATASETS, "SELECT dataset_id, CAST(max(i) AS INTEGER) AS scan_h, CAST(max(n_frames) // max(i) AS INTEGER) AS scan_w FROM (SELECT dataset_id, n_frames, unnest(range(1, CAST(floor(sqrt(n_frames)) AS BIGINT) + 1)) AS i FROM ds) WHERE n_frames % i = 0 GROUP BY dataset_id"),
