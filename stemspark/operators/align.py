@@ -66,10 +66,10 @@ def centre_reference(images: DataFrame, sigma: float = 0.5) -> DataFrame:
 
 def _correlate(values: np.ndarray, ref: np.ndarray, h: int, w: int) -> np.ndarray:
     """Normalised squared circular correlations of images with one reference, zero lag in the middle."""
-    c = np.fft.ifft2(np.fft.fft2(values.reshape(-1, h, w)) * np.conj(np.fft.fft2(ref.reshape(h, w))))
+    c = np.fft.irfft2(np.fft.rfft2(values.reshape(-1, h, w)) * np.conj(np.fft.rfft2(ref.reshape(h, w))), s=(h, w))
     norm = (ref**2).sum() * (values**2).sum(1)
     norm[norm < 1e-9] = 1
-    return np.fft.fftshift(np.abs(c**2) / norm[:, None, None], axes=(1, 2))
+    return np.fft.fftshift(c**2 / norm[:, None, None], axes=(1, 2))
 
 
 def _with_reference(images: DataFrame, reference: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def _per_reference(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.nd
     ids = np.array(part.column(0).to_pylist(), object)
     for id_ in dict.fromkeys(ids.tolist()):
         some = part.take(pa.array(np.flatnonzero(ids == id_)))
-        yield some, np.array(some.column(6)[0].as_py(), float)
+        yield some, some.column(6)[0].values.to_numpy(zero_copy_only=False).astype(float)
 
 
 def _correlation_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,27 +242,58 @@ def join_shift_map(images: DataFrame, shifts: DataFrame, threshold: float) -> Da
     return images.select(*_AT, "scan_h", "scan_w", "img").join(good, _AT)
 
 
+#: Pixels of an output image that are sent as one row. A group adds up one block of each task, 12 KB, and tasks that
+#: have rows of a data set are at most as many as its detector pixels.
+PIXELS = 1024
+_SUMS = "dataset_id string, block int, w int, size int, total binary, n binary"
+
+
 class _Sums:
-    """Sums and counts of output images, one a data set; a task sends each on once."""
+    """Sums and counts of output images, one a data set; a task sends each on once, in blocks of PIXELS."""
 
     def __init__(self) -> None:
         self.held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def of(self, id_: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.held.setdefault(id_, (np.zeros((h, w)), np.zeros((h, w), np.int64)))
+        return self.held.setdefault(id_, (np.zeros((h, w)), np.zeros((h, w), np.int32)))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for id_, (total, count) in self.held.items():
-            for lo in range(0, len(total), 256):
-                part = np.arange(lo, min(lo + 256, len(total)))
-                n = total.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([id_] * (len(part) * n)), pa.array(np.repeat(part, n).astype(np.int32)), pa.array(np.tile(np.arange(n), len(part)).astype(np.int32)), pa.array(total[part].ravel()), pa.array(count[part].ravel())],
-                    names=["dataset_id", "y", "x", "total", "n"],
-                )
+            n, flat, hits = total.shape[1], total.ravel(), count.ravel()
+            rows = []
+            for lo in range(0, len(flat), PIXELS):
+                here = hits[lo : lo + PIXELS]
+                some = here.any()
+                rows.append((id_, lo // PIXELS, n, len(here), flat[lo : lo + PIXELS].tobytes() if some else None, here.tobytes() if some else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["dataset_id", "block", "w", "size", "total", "n"])
+
+
+def _add_task(mean: bool) -> Callable:
+    def task(table: pa.Table) -> pa.Table:
+        size, w, block = (table.column(c)[0].as_py() for c in ("size", "w", "block"))
+        total, count = np.zeros(size), np.zeros(size, np.int64)
+        for t, n in zip(table.column("total").to_pylist(), table.column("n").to_pylist(), strict=True):
+            if n is not None:
+                total += np.frombuffer(t)
+                count += np.frombuffer(n, np.int32)
+        if mean:
+            total = np.divide(total, count, out=np.zeros(size), where=count > 0)
+        y, x = np.divmod(np.arange(size) + block * PIXELS, w)
+        ids = pa.array([table.column("dataset_id")[0].as_py()] * size, pa.string())
+        return pa.table({"dataset_id": ids, "y": pa.array(y.astype(np.int32)), "x": pa.array(x.astype(np.int32)), "value": pa.array(total), "n": pa.array(count)})
+
+    return task
 
 
-_SUMS = "dataset_id string, y int, x int, total double, n long"
+def _added(sums: DataFrame, mean: bool) -> DataFrame:
+    """dataset_id, y, x, value, n from the blocks of all tasks: sums, or means that are 0 where nothing was added."""
+    return sums.groupBy("dataset_id", "block").applyInArrow(_add_task(mean), "dataset_id string, y int, x int, value double, n long")
+
+
+def _last(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of an axis, and the last sample on each."""
+    places, back = np.unique(at[::-1], return_index=True)
+    return places, len(at) - 1 - back
 
 
 def _place_task(fac: int, pad: int) -> Callable:
@@ -270,19 +301,16 @@ def _place_task(fac: int, pad: int) -> Callable:
         sums = _Sums()
         for batch in batches:
             for part, h, w in by_shape(batch, 3, 4):
-                values = matrices(part.column(5)).astype(float)
-                y, x = np.divmod(np.arange(h * w), w)
+                values = matrices(part.column(5)).reshape(-1, h, w)
+                y, x = np.arange(h), np.arange(w)
                 big_h, big_w = h * fac + pad, w * fac + pad
                 for k, (id_, sy, sx) in enumerate(zip(part.column(0).to_pylist(), part.column(6).to_pylist(), part.column(7).to_pylist(), strict=True)):
                     total, count = sums.of(id_, big_h, big_w)
                     ty = np.clip(np.round((y - (sy - h / 2 - pad / 2 / fac)) * fac), 0, big_h - 1).astype(int)
                     tx = np.clip(np.round((x - (sx - w / 2 - pad / 2 / fac)) * fac), 0, big_w - 1).astype(int)
-                    at = ty * big_w + tx
-                    last = np.full(big_h * big_w, -1)
-                    last[at] = np.arange(len(at))  # of several samples on one place the last counts
-                    hit = np.flatnonzero(last >= 0)
-                    total.ravel()[hit] += values[k, last[hit]]
-                    count.ravel()[hit] += 1
+                    (to_y, from_y), (to_x, from_x) = _last(ty), _last(tx)  # of several samples on one place the last counts
+                    total[np.ix_(to_y, to_x)] += values[k][np.ix_(from_y, from_x)]
+                    count[np.ix_(to_y, to_x)] += 1
         yield from sums.rows()
 
     return task
@@ -292,19 +320,14 @@ def reconstruct_superres(images: DataFrame, shifts: DataFrame, fac: int = 4, pad
     """dataset_id, y, x, value, n: shift-and-add onto a grid fac times finer; 0 where no sample falls (n = 0).
 
     Detector pixels within lims of the middle whose quality is above the threshold take part; of a pixel's samples on
-    one place the last counts. Tasks add up their images first, so what is shuffled is one output image a task."""
+    one place the last counts. Tasks add up their images first, so what is shuffled is one output image a task, in
+    blocks of PIXELS."""
     size = images.groupBy("dataset_id").agg(F.min("det_y").alias("y0"), F.max("det_y").alias("y9"), F.min("det_x").alias("x0"), F.max("det_x").alias("x9"))
     cy, cx = F.expr("y0 + cast((y9 - y0 + 1) div 2 as int)"), F.expr("x0 + cast((x9 - x0 + 1) div 2 as int)")
     reach = size.select("dataset_id", cy.alias("cy"), cx.alias("cx"), F.least(F.lit(lims), cy - F.col("y0"), F.col("y9") - cy).alias("ly"), F.least(F.lit(lims), cx - F.col("x0"), F.col("x9") - cx).alias("lx"))
     near = shifts.join(reach, "dataset_id").where((F.abs(F.col("det_y") - F.col("cy")) <= F.col("ly")) & (F.abs(F.col("det_x") - F.col("cx")) <= F.col("lx")))
     rows = join_shift_map(images, near, threshold).select(*_AT, "scan_h", "scan_w", "img", "shift_y", "shift_x")
-    sums = rows.mapInArrow(_place_task(fac, pad), _SUMS)
-    return _mean(sums, zero=True)
-
-
-def _mean(sums: DataFrame, zero: bool) -> DataFrame:
-    out = sums.groupBy("dataset_id", "y", "x").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return out.select("dataset_id", "y", "x", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(0.0)).alias("value"), "n")
+    return _added(rows.mapInArrow(_place_task(fac, pad), _SUMS), mean=True)
 
 
 def contribution_map(reconstructed: DataFrame) -> DataFrame:
@@ -371,9 +394,7 @@ def align(images: DataFrame, shifts: DataFrame, kind: str = "bilinear", upscale:
         raise ValueError("kind is bilinear, nearest or bicubic, reduce is mean or sum")
     rows = images.select(*_AT, "scan_h", "scan_w", "img").join(shifts.select(*_AT, "shift_y", "shift_x"), _AT)
     sums = rows.select(*_AT, "scan_h", "scan_w", "img", "shift_y", "shift_x").mapInArrow(_align_task(kind, upscale, sign), _SUMS)
-    if reduce == "mean":
-        return _mean(sums, zero=True)
-    return sums.groupBy("dataset_id", "y", "x").agg(F.sum("total").alias("value"), F.sum("n").alias("n"))
+    return _added(sums, mean=reduce == "mean")
 
 
 def interpolation_neighbours(image: DataFrame, shift_y: float, shift_x: float) -> DataFrame:

@@ -13,6 +13,8 @@ from ..schemas import SCAN
 
 #: A task sends its sums on once it holds those of so many data sets.
 HELD = 64
+#: Values that a task works on at a time: 8 MB of doubles, or one row if that is larger.
+VALUES = 1 << 20
 
 
 def matrices(column: pa.Array) -> np.ndarray:
@@ -22,11 +24,14 @@ def matrices(column: pa.Array) -> np.ndarray:
 
 
 def by_shape(batch: pa.RecordBatch, h: int, w: int) -> Iterator[tuple[pa.RecordBatch, int, int]]:
-    """Parts of a batch whose extents (columns h and w) are equal."""
+    """Parts of a batch whose extents (columns h and w) are equal, of VALUES values at most where a row is no larger."""
     sizes = np.stack([batch.column(h).to_numpy(), batch.column(w).to_numpy()], 1)
-    for a, b in dict.fromkeys(map(tuple, sizes.tolist())):
-        which = np.flatnonzero((sizes == (a, b)).all(1))
-        yield batch.take(pa.array(which)), a, b
+    shapes = list(dict.fromkeys(map(tuple, sizes.tolist())))
+    for a, b in shapes:
+        part = batch if len(shapes) == 1 else batch.take(pa.array(np.flatnonzero((sizes == (a, b)).all(1))))
+        step = max(1, VALUES // max(1, a * b))
+        for lo in range(0, len(part), step):
+            yield part.slice(lo, step), a, b
 
 
 def _mask_task(inside: Callable) -> Callable:

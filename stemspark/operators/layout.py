@@ -47,24 +47,40 @@ def standard_bf(frames: DataFrame) -> DataFrame:
     return frames.select("dataset_id", "scan_y", "scan_x", F.get("counts", at).alias("value"))
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds all of them; others as they are."""
+    if values.dtype.kind not in "iu" or not values.size:
+        return values
+    return values.astype(np.promote_types(np.min_scalar_type(values.min()), np.min_scalar_type(values.max())))
+
+
+_TILES = pa.schema(
+    [("dataset_id", pa.string()), ("part", pa.int32()), ("n", pa.int32()), ("first", pa.int32()), ("det_w", pa.int32()), ("start", pa.int64()), ("count", pa.int32()), ("frames", pa.binary()), ("kind", pa.string()), ("tile", pa.binary())]
+)
+
+
 def _tile_task(block: int) -> Callable:
-    """Frames to tiles: for each block of detector pixels, the places and values of a batch's frames."""
+    """Frames to tiles: for each block of detector pixels, the places and values of a batch's frames.
+
+    Counts go in the smallest type that holds them, consecutive frames as the first and their number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("dataset_id", pa.string()), ("part", pa.int32()), ("n", pa.int32()), ("first", pa.int32()), ("det_w", pa.int32()), ("frames", pa.binary()), ("tile", pa.binary())])
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), object)
             frame, width = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             lists = batch.column(3)
             for id_ in dict.fromkeys(ids.tolist()):
                 which = np.flatnonzero(ids == id_)
-                some = lists.take(pa.array(which))
-                values = some.flatten().to_numpy(zero_copy_only=False).reshape(len(which), -1).astype(np.float64)
+                some = lists if len(which) == len(ids) else lists.take(pa.array(which))
+                values = _narrow(some.flatten().to_numpy(zero_copy_only=False)).reshape(len(which), -1)
+                at = frame[which]
+                row = bool((np.diff(at) == 1).all())
+                places = None if row else at.astype("<i8").tobytes()
                 rows = []
                 for k, lo in enumerate(range(0, values.shape[1], block)):
                     tile = np.ascontiguousarray(values[:, lo : lo + block].T)
-                    rows.append((id_, k, tile.shape[0], lo, int(width[which[0]]), frame[which].astype("<i8").tobytes(), tile.astype("<f8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append((id_, k, tile.shape[0], lo, int(width[which[0]]), int(at[0]), len(at), places, tile.dtype.str, tile.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TILES, strict=True)], schema=_TILES)
 
     return task
 
@@ -75,9 +91,9 @@ def _join_task(scan_h: int, scan_w: int) -> Callable:
         n = rows[0]["n"]
         image = np.zeros((n, scan_h * scan_w))
         for r in rows:
-            at = np.frombuffer(r["frames"], "<i8")
+            at = np.arange(r["start"], r["start"] + r["count"]) if r["frames"] is None else np.frombuffer(r["frames"], "<i8")
             inside = (at >= 0) & (at < scan_h * scan_w)
-            image[:, at[inside]] = np.frombuffer(r["tile"], "<f8").reshape(n, -1)[:, inside]
+            image[:, at[inside]] = np.frombuffer(r["tile"], r["kind"]).reshape(n, -1)[:, inside]
         pixel = np.arange(rows[0]["first"], rows[0]["first"] + n)
         width = rows[0]["det_w"]
         offsets = pa.array(np.arange(n + 1) * scan_h * scan_w, pa.int32())
@@ -98,12 +114,12 @@ def _join_task(scan_h: int, scan_w: int) -> Callable:
 def pixel_images(frames: DataFrame, scan_h: int, scan_w: int, block: int = 0) -> DataFrame:
     """The transposed layout: one scan image per detector pixel; positions without a frame are 0.
 
-    Tiles of (detector pixels x frames) are shuffled, not voxels. A task holds the images of one block of detector
+    Tiles of (detector pixels x frames) are shuffled, not voxels, with counts in one or two bytes where they fit. A task holds the images of one block of detector
     pixels, `block` x scan positions x 8 bytes: 32 MB by default, and one image must fit in a task.
     """
     block = block or max(1, (4 << 20) // max(1, scan_h * scan_w))
     rows = frames.select("dataset_id", "frame_idx", "det_w", "counts")
-    tiles = rows.mapInArrow(_tile_task(block), "dataset_id string, part int, n int, first int, det_w int, frames binary, tile binary")
+    tiles = rows.mapInArrow(_tile_task(block), "dataset_id string, part int, n int, first int, det_w int, start long, count int, frames binary, kind string, tile binary")
     return tiles.groupBy("dataset_id", "part").applyInArrow(_join_task(scan_h, scan_w), PIXEL_IMAGES)
 
 
