@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import poly_terms
@@ -54,10 +54,15 @@ def gaussian_smooth(images: DataFrame, sigma: float = 0.5, truncate_int: bool =
     return images.select(*_AT, "scan_h", "scan_w", "img").mapInArrow(_smooth_task(sigma, truncate_int), PIXEL_IMAGES)
 
 
-def centre_reference(images: DataFrame, sigma: float = 0.5) -> DataFrame:
-    """dataset_id, ref: the smoothed image of the pixel in the middle of the detector region."""
-    size = images.groupBy("dataset_id").agg(F.expr("cast((max(det_y) + min(det_y) + 1) div 2 as int)").alias("det_y"), F.expr("cast((max(det_x) + min(det_x) + 1) div 2 as int)").alias("det_x"))
-    one = images.join(size, _AT)
+def centre_reference(images: DataFrame, sigma: float = 0.5, at: tuple[int, int] | None = None) -> DataFrame:
+    """dataset_id, ref: the smoothed image of the pixel in the middle of the detector region.
+
+    Where the caller knows that pixel, it is given as `at` and filtered in the scan of the images."""
+    if at:
+        one = images.where((F.col("det_y") == at[0]) & (F.col("det_x") == at[1]))
+    else:
+        size = images.groupBy("dataset_id").agg(F.expr("cast((max(det_y) + min(det_y) + 1) div 2 as int)").alias("det_y"), F.expr("cast((max(det_x) + min(det_x) + 1) div 2 as int)").alias("det_x"))
+        one = images.join(size, _AT)
     return gaussian_smooth(one, sigma).select("dataset_id", F.col("img").alias("ref"))
 
 
@@ -72,17 +77,27 @@ def _correlate(values: np.ndarray, ref: np.ndarray, h: int, w: int) -> np.ndarra
     return np.fft.fftshift(c**2 / norm[:, None, None], axes=(1, 2))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        images = [r.values.to_numpy(zero_copy_only=False).astype(float).tobytes() for r in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["dataset_id", "ref"])
+
+
 def _with_reference(images: DataFrame, reference: DataFrame) -> DataFrame:
-    """One reference image a data set: as many rows as data sets; whether it is broadcast goes by its size."""
+    """One reference image a data set: as many rows as data sets; whether it is broadcast goes by its size.
+
+    It is repeated with each image, so it goes as bytes, which Spark hands on without a step for each value."""
     rows = images.select(*_AT, "scan_h", "scan_w", "img")
-    return rows.join(reference.select("dataset_id", "ref"), "dataset_id")
+    packed = reference.where(F.col("ref").isNotNull()).select("dataset_id", "ref").mapInArrow(_packed, "dataset_id string, ref binary")
+    return rows.join(packed, "dataset_id")
 
 
 def _per_reference(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     ids = np.array(part.column(0).to_pylist(), object)
     for id_ in dict.fromkeys(ids.tolist()):
-        some = part.take(pa.array(np.flatnonzero(ids == id_)))
-        yield some, some.column(6)[0].values.to_numpy(zero_copy_only=False).astype(float)
+        mine = ids == id_
+        some = part if mine.all() else part.take(pa.array(np.flatnonzero(mine)))
+        yield some, np.frombuffer(some.column(6)[0].as_buffer())
 
 
 def _correlation_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,13 +334,15 @@ def _place_task(fac: int, pad: int) -> Callable:
 def reconstruct_superres(images: DataFrame, shifts: DataFrame, fac: int = 4, pad: int = 16, lims: int = 16, threshold: float = 0.8) -> DataFrame:
     """dataset_id, y, x, value, n: shift-and-add onto a grid fac times finer; 0 where no sample falls (n = 0).
 
-    Detector pixels within lims of the middle whose quality is above the threshold take part; of a pixel's samples on
+    Detector pixels within lims of the middle of those that have shifts, and whose quality is above the threshold take part; of a pixel's samples on
     one place the last counts. Tasks add up their images first, so what is shuffled is one output image a task, in
     blocks of PIXELS."""
-    size = images.groupBy("dataset_id").agg(F.min("det_y").alias("y0"), F.max("det_y").alias("y9"), F.min("det_x").alias("x0"), F.max("det_x").alias("x9"))
-    cy, cx = F.expr("y0 + cast((y9 - y0 + 1) div 2 as int)"), F.expr("x0 + cast((x9 - x0 + 1) div 2 as int)")
-    reach = size.select("dataset_id", cy.alias("cy"), cx.alias("cx"), F.least(F.lit(lims), cy - F.col("y0"), F.col("y9") - cy).alias("ly"), F.least(F.lit(lims), cx - F.col("x0"), F.col("x9") - cx).alias("lx"))
-    near = shifts.join(reach, "dataset_id").where((F.abs(F.col("det_y") - F.col("cy")) <= F.col("ly")) & (F.abs(F.col("det_x") - F.col("cx")) <= F.col("lx")))
+    whole = Window.partitionBy("dataset_id")  # one small row a detector pixel
+    ends = {"y0": F.min("det_y"), "y9": F.max("det_y"), "x0": F.min("det_x"), "x9": F.max("det_x")}
+    near = shifts.select(*_AT, "shift_y", "shift_x", "quality", *(c.over(whole).alias(n) for n, c in ends.items()))
+    for at, lo, hi in (("det_y", "y0", "y9"), ("det_x", "x0", "x9")):
+        mid = F.expr(f"{lo} + cast(({hi} - {lo} + 1) div 2 as int)")
+        near = near.where(F.abs(F.col(at) - mid) <= F.least(F.lit(lims), mid - F.col(lo), F.col(hi) - mid))
     rows = join_shift_map(images, near, threshold).select(*_AT, "scan_h", "scan_w", "img", "shift_y", "shift_x")
     return _added(rows.mapInArrow(_place_task(fac, pad), _SUMS), mean=True)
 

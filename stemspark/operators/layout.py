@@ -91,9 +91,15 @@ def _join_task(scan_h: int, scan_w: int) -> Callable:
         n = rows[0]["n"]
         image = np.zeros((n, scan_h * scan_w))
         for r in rows:
-            at = np.arange(r["start"], r["start"] + r["count"]) if r["frames"] is None else np.frombuffer(r["frames"], "<i8")
-            inside = (at >= 0) & (at < scan_h * scan_w)
-            image[:, at[inside]] = np.frombuffer(r["tile"], r["kind"]).reshape(n, -1)[:, inside]
+            tile = np.frombuffer(r["tile"], r["kind"]).reshape(n, -1)
+            if r["frames"] is None:
+                lo, hi = max(0, r["start"]), min(scan_h * scan_w, r["start"] + r["count"])
+                if lo < hi:
+                    image[:, lo:hi] = tile[:, lo - r["start"] : hi - r["start"]]
+            else:
+                at = np.frombuffer(r["frames"], "<i8")
+                inside = (at >= 0) & (at < scan_h * scan_w)
+                image[:, at[inside]] = tile[:, inside]
         pixel = np.arange(rows[0]["first"], rows[0]["first"] + n)
         width = rows[0]["det_w"]
         offsets = pa.array(np.arange(n + 1) * scan_h * scan_w, pa.int32())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import align, geometry, layout, select
+from ..sources.scratch import kept
 from .runs import RunStore
 
 
@@ -21,7 +22,10 @@ def detect(frames: DataFrame, fraction: float = 0.1) -> dict:
 
 
 def superres(frames: DataFrame, crop: dict | None = None, sigma: float = 0.5, fac: int = 4, pad: int = 16, lims: int = 16, threshold: float = 0.8, store: RunStore | None = None, run_id: str = "run") -> tuple[DataFrame, DataFrame]:
-    """Shift map and reconstruction of one data set. With a store, the images, shifts and result are its stage tables."""
+    """Shift map and reconstruction of one data set. With a store, the images, shifts and result are its stage tables.
+
+    Images, reference and shifts are written in either case: the next steps read them more than once, and joins go by
+    the sizes of the written tables."""
     crop = crop or detect(frames)
     cut = select.crop_detector(frames, crop["y1"], crop["y2"], crop["x1"], crop["x2"])
     images = layout.pixel_images(cut, crop["scan_h"], crop["scan_w"])
@@ -31,9 +35,12 @@ def superres(frames: DataFrame, crop: dict | None = None, sigma: float = 0.5, fa
         dataset = frames.select("dataset_id").first()[0]
         store.start(run_id, dataset, params)
         images = store.write_stage(run_id, dataset, 2, images, params)
-    shifts = align.shift_maps(images, align.centre_reference(images, sigma))
-    if store:
-        shifts = store.write_stage(run_id, dataset, 4, shifts, params)
+    else:
+        images = kept(images, "images")
+    middle = (crop["y2"] - crop["y1"]) // 2, (crop["x2"] - crop["x1"]) // 2
+    reference = kept(align.centre_reference(images, sigma, middle), "reference")
+    shifts = align.shift_maps(images, reference)
+    shifts = store.write_stage(run_id, dataset, 4, shifts, params) if store else kept(shifts, "shifts")
     out = align.reconstruct_superres(images, shifts, fac, pad, lims, threshold)
     if store:
         out = store.write_stage(run_id, dataset, 5, out, params)
