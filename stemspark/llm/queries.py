@@ -88,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: The counts of op9 and its lines, in SQL: a line is compared as its words, in small letters; a line goes if more than
-#: 100 documents of its host hold it, exact copies (the same words in small letters) counted once.
+#: 100 distinct documents of its host hold it.
 _OP9 = r"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 ws AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
@@ -102,8 +102,7 @@ lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FRO
 full_lines AS (
   SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM lines),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines WHERE len(lw) > 0 GROUP BY doc_id),
-whole AS (SELECT doc_id, md5(array_to_string(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ')) AS h FROM docs),
-common AS (SELECT source, lw FROM full_lines JOIN whole USING (doc_id) WHERE len(lw) > 0 GROUP BY source, lw HAVING count(DISTINCT h) > 100),
+common AS (SELECT source, lw FROM full_lines WHERE len(lw) > 0 GROUP BY source, lw HAVING count(DISTINCT doc_id) > 100),
 lost AS (SELECT f.doc_id, sum(len(f.lw)) AS n FROM full_lines f JOIN common c ON f.source IS NOT DISTINCT FROM c.source AND f.lw = c.lw GROUP BY f.doc_id),
 counts AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

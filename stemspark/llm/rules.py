@@ -2,14 +2,12 @@
 
 Cross-document line frequency: lines are normalised (ASCII letters made small, words joined by one space) and
 hashed; for each host the distinct documents that hold a line are counted; lines above the limit are removed; a
-document that loses too much is rejected.
-
-Exact copies of one text count as one document of a host (equal words in small letters, by a hash of 64 bits): they are
-no evidence that its lines are boilerplate. Texts that differ anywhere are distinct, whatever lines they share.
+document that loses too much is rejected. Documents are told apart by their id alone: whether some are copies of each
+other is for near-duplicate removal to say, not for this rule.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null hosts are one host;
 a row repeated in the input is judged as often as it stands there and counts once as a document (by its id);
-a null id counts as one document of its own; an empty table gives an empty table; other columns don't matter.
+rows of a null id count as one document; an empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .skew import spread_join
 from .store import free_name, kept, long_id
 
 MIN_WORDS = 50
@@ -82,77 +81,69 @@ def _count(block: W.Block) -> list[np.ndarray]:
     return [n_words, chars, symbols, W.per_text(dup, at), W.per_text(covered, found.at)]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_list(block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each distinct line of a text that has a word, words of all its places there, and each text's first one."""
+    found = W.words(block, lower=True)
+    start, end, at = _lines(block)
+    lo, hi = np.searchsorted(found.start, start), np.searchsorted(found.start, end)
+    use = hi > lo
+    h, row, n = W.range_hash(found, lo[use], hi[use]), W.owner(at)[use], (hi - lo)[use]
+    order = np.lexsort((h, row))
+    h, row, n = h[order], row[order], n[order]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return h[new].view(np.int64), np.add.reduceat(n, new) if len(h) else n, np.searchsorted(row[new], np.arange(len(block.at)))
+
+
+def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
-        parts = [_count(b) for b in W.blocks(text)]
-        columns = [pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)) for k in range(5)]
-        rest = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "text"]
-        yield pa.RecordBatch.from_arrays(rest + columns, names=[n for n in batch.schema.names if n != "text"] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        names = batch.schema.names
+        for block in W.blocks(batch.column(names.index("text"))):
+            columns = [pa.array(c.astype(np.int64)) for c in _count(block)]
+            line, n, at = _line_list(block)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.astype(np.int64))) for x in (line, n)]
+            rest = [batch.column(k).slice(block.first, len(block.at) - 1) for k, name in enumerate(names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*rest, *columns, *lists], names=[*(n for n in names if n != "text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line", "line_words"])
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
+def read_texts(docs: DataFrame, id_col: str = "doc_id", host_col: str | None = "source") -> DataFrame:
+    """One row for each row of docs, from one pass over its whole text: its id, host (by hash; null is one host), n_words
+    and four counts, and the text's distinct lines: line (hashes) and line_words (words of all places of each)."""
+    host = F.xxhash64(F.col(host_col).cast("string")) if host_col else F.lit(0).cast("long")
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), host.alias("host"), "text")
+    return rows.mapInArrow(_read_task, f"doc_id long, host long, {_COUNTS}, line array<long>, line_words array<long>")
+
+
 def text_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: its id, n_words and the four counts of its whole text, and base_failed."""
-    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col("text"))
-    counted = rows.mapInArrow(_counts, f"doc_id long, {_COUNTS}")
+    counted = read_texts(docs, id_col, None).drop("host", "line", "line_words")
     return counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
-        others = [k for k, name in enumerate(batch.schema.names) if name != "text"]
-        for block in W.blocks(text):
-            found = W.words(block, lower=True)
-            start, end, at = _lines(block)
-            lo, hi = np.searchsorted(found.start, start), np.searchsorted(found.start, end)
-            use = hi > lo
-            h = W.range_hash(found, lo[use], hi[use])
-            row = W.owner(at)[use] + block.first
-            n = (hi - lo)[use]
-            order = np.lexsort((h, row))
-            h, row, n = h[order], row[order], n[order]
-            if not len(h):
-                continue
-            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-            where = np.flatnonzero(new)
-            h, row, n = h[where], row[where], np.add.reduceat(n, where)
-            whole = W.range_hash(found, found.at[:-1], found.at[1:])[row - block.first]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in others] + [pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(whole.view(np.int64))],
-                names=[batch.schema.names[k] for k in others] + ["line", "line_words", "whole"],
-            )
-
-
-def line_table(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
-    """doc_id, host, line (hash of a normalised line), line_words (words of all its places in that document), whole
-    (hash of the words of the whole text)."""
-    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), "text")
-    return rows.mapInArrow(_line_rows, "doc_id long, host string, line long, line_words long, whole long")
+def line_table(texts: DataFrame) -> DataFrame:
+    """doc_id, host, line, line_words of every distinct line of every row of read_texts()."""
+    rows = texts.select("doc_id", "host", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
+    return rows.select("doc_id", "host", "l.line", "l.line_words")
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = LINE_DOCS) -> DataFrame:
-    """host, line, n_docs, n_texts of the lines that more distinct texts of the host hold than max_docs.
+    """host, line, n_docs of the lines that more distinct documents of the host hold than max_docs.
 
-    Rows of one id are one document; documents of one text are one. Each step sums before its shuffle, so no task
-    gathers all rows of a common line."""
-    once = lines.groupBy("host", "line", "doc_id").agg(F.min("whole").alias("whole"))
-    texts = once.groupBy("host", "line", "whole").agg(F.count(F.lit(1)).alias("n"))
-    counted = texts.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
-    return counted.where(F.col("n_texts") > max_docs)
+    Rows of one id are one document. Each step sums before its shuffle, so no task gathers all rows of a common line."""
+    once = lines.groupBy("host", "line", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
-def _lost(docs: DataFrame, id_col: str, host_col: str, max_docs: int) -> DataFrame:
-    """doc_id, host, line, w: every document's lines above the limit, and how many words they hold there."""
-    lines = kept(line_table(docs, id_col, host_col), "lines")
-    common = frequent_lines(lines, max_docs).select("host", "line")
-    same = lines.host.eqNullSafe(common.host) & (lines.line == common.line)
-    return lines.join(common, same, "left_semi").groupBy("doc_id", "host", "line").agg(F.max("line_words").alias("w"))
+def _lost(texts: DataFrame, max_docs: int) -> DataFrame:
+    """doc_id, host, line, w: every document's lines above the limit, and how many words they hold there. A line that
+    any share of all documents holds is dealt over all partitions."""
+    lines = line_table(texts)
+    common = kept(frequent_lines(lines, max_docs), "common_lines")
+    found = spread_join(lines, common.select("host", "line"), ["host", "line"], common.withColumnRenamed("n_docs", "n"))
+    return found.groupBy("doc_id", "host", "line").agg(F.max("line_words").alias("w"))
 
 
 def _depleted(lost: Column, n_words: Column) -> Column:
@@ -161,8 +152,10 @@ def _depleted(lost: Column, n_words: Column) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", max_docs: int = LINE_DOCS) -> DataFrame:
     """text_counts with n_line_words (words in lines above the limit) and kept (neither base_failed nor depleted)."""
-    lost = _lost(docs, id_col, host_col, max_docs).groupBy(F.col("doc_id").alias("lost_id")).agg(F.sum("w").alias("n_line_words"))
-    out = text_counts(docs, id_col).join(lost, F.col("doc_id") == F.col("lost_id"), "left").drop("lost_id")
+    texts = kept(read_texts(docs, id_col, host_col), "texts")
+    lost = _lost(texts, max_docs).groupBy(F.col("doc_id").alias("lost_id")).agg(F.sum("w").alias("n_line_words"))
+    out = texts.drop("host", "line", "line_words").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    out = out.join(lost, F.col("doc_id") == F.col("lost_id"), "left").drop("lost_id")
     out = out.withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
     return out.withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("n_line_words"), F.col("n_words")))
 
@@ -195,7 +188,7 @@ def _clean_task(names: list[str], passes: str) -> Callable:
 
 def clean(docs: DataFrame, host_col: str = "source", max_docs: int = LINE_DOCS) -> DataFrame:
     """The rows of docs (all columns) that pass, without the lines above the limit; n_chars follows the text."""
-    lost = _lost(docs, "doc_id", host_col, max_docs)
+    lost = _lost(kept(read_texts(docs, "doc_id", host_col), "texts"), max_docs)
     names, id_, lines, passes = docs.columns, free_name(docs, "id"), free_name(docs, "lines"), free_name(docs, "passes")
     lost = lost.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(lines))
     marked = docs.join(lost, docs["doc_id"] == F.col(id_), "left").select(*(docs[c] for c in names), lines)

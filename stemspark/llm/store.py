@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
@@ -22,8 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses. It is this process's own and goes with release(), at its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _OWN[path] = spark
+    return path
+
+
+#: Paths that this process has taken and that are still there.
+_OWN: dict[str, SparkSession] = {}
+
+
+def release() -> None:
+    """Delete what this process has written to paths of its own. Results that were not collected or written by then, and files
+    written without a path of the caller's, are gone."""
+    for path, spark in list(_OWN.items()):
+        try:
+            drop(spark, path)
+        except (Py4JError, Py4JNetworkError, AttributeError, OSError):  # the session has been stopped already
+            _OWN.pop(path, None)
+
+
+atexit.register(release)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -34,7 +55,8 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: later steps don't repeat it, lost executors don't undo it.
 
-    It stays, as a result that is still to be read needs it; what only the steps before need goes to a Scratch."""
+    It stays until release(), as a result that is still to be read needs it; what only the steps before need goes to a
+    Scratch."""
     return _written(df, fresh(df.sparkSession, name))
 
 
@@ -56,6 +78,7 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder once nothing reads it any more; it's no error if it isn't there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _OWN.pop(path, None)
 
 
 def parts(spark: SparkSession) -> int:
