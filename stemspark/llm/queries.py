@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontaminate, html, near, packing, quality, rules, shards, substrings, warc
+from . import binary, codes, decontaminate, html, near, packing, quality, rules, shards, substrings, warc
 from .store import table
 
 #: A document's ids end with this one.
@@ -68,6 +68,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, index).drop("url")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.with_label_errors(*codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 
@@ -176,6 +181,30 @@ SELECT ws.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) A
 FROM ws LEFT JOIN lost USING (doc_id)
 """
 
+#: Lloyd rounds of a product quantiser by comparing each part with every entry; whole numbers are held as such.
+_ASSIGN = """
+d{k} AS (
+  SELECT p.r, p.part, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS d
+  FROM p JOIN b{k} b ON p.part = b.part),
+a{k} AS (SELECT r, part, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d FROM d{k} GROUP BY r, part)"""
+_MOVE = """
+m{k} AS (
+  SELECT part, entry, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT a.part, a.entry, unnest(range(1, len(p.x) + 1)) AS i, unnest(p.x) AS v FROM a{k} a JOIN p USING (r, part)) GROUP BY part, entry, i),
+f{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{k} GROUP BY part, entry),
+b{n} AS (SELECT b.part, b.entry, coalesce(f.x, b.x) AS x FROM b{k} b LEFT JOIN f{k} f USING (part, entry))"""
+_OP11 = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(CAST(y AS DOUBLE) * 256) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS (SELECT r, part, x[part * len(x) // 16 + 1 : (part + 1) * len(x) // 16] AS x FROM (SELECT r, x, unnest(range(0, 16)) AS part FROM v)),
+b0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 64),
+{_ASSIGN.format(k=0)}, {_MOVE.format(k=0, n=1)}, {_ASSIGN.format(k=1)}, {_MOVE.format(k=1, n=2)}, {_ASSIGN.format(k=2)},
+c AS (SELECT r, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (r), book
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": _OP1,
     "op3_sharding": _OP3.format(limit=shards.SHARD_BYTES),
@@ -184,6 +213,7 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": _OP8,
     "op9_quality_rules": _OP9,
     "op10_warc": _OP10,
+    "op11_vector_codes": _OP11,
 }
 
 
