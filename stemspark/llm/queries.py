@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, codes, decontaminate, html, near, packing, quality, rules, shards, substrings, warc
+from . import binary, codes, decontaminate, html, near, packing, prefixes, quality, rules, shards, substrings, warc
 from .store import table
 
 #: A document's ids end with this one.
@@ -72,6 +72,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_errors(*codes.compress(table(spark, sf_dir, "embeddings")))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations")).drop("place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 
@@ -205,6 +210,34 @@ book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, en
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (r), book
 """
 
+#: Prefixes as lists of turns; a node lies under the nodes of its smallest member's shorter prefixes.
+_OP12 = """
+WITH RECURSIVE bits AS (
+  SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS c, 0 AS k FROM range(256) r(n) UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS x FROM bits WHERE k = 8),
+t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, b: xor(a >> 8, x[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (
+  SELECT i.conv_id, 0 AS side, place, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 5 AND place < h UNION ALL
+  SELECT i.conv_id, 1, place, role, text FROM ids i JOIN t USING (conv_id) WHERE place >= h),
+lists AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY side, place) AS l FROM r GROUP BY conv_id),
+full_lists AS (SELECT conv_id, coalesce(l, []) AS l FROM ids LEFT JOIN lists USING (conv_id)),
+pre AS (SELECT conv_id, depth, len(l) AS n, l[1:depth] AS p, CASE WHEN depth > 0 THEN strlen(l[depth].text) ELSE 0 END AS bytes FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM full_lists)),
+nodes AS (SELECT p, depth, min(conv_id) AS node, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends FROM pre GROUP BY p, depth),
+of AS (SELECT conv_id, pre.depth, node FROM pre JOIN nodes ON pre.depth = nodes.depth AND pre.p = nodes.p),
+up AS (SELECT n.*, o.node AS parent FROM nodes n LEFT JOIN of o ON o.conv_id = n.node AND o.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+every AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (node, depth)),
+under AS (SELECT o.node, o.depth, sum(CASE WHEN e.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((e.n_convs - 1) * e.bytes) AS saved FROM every e JOIN of o ON o.conv_id = e.node AND o.depth <= e.depth GROUP BY ALL)
+SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM every JOIN under USING (node, depth)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": _OP1,
     "op3_sharding": _OP3.format(limit=shards.SHARD_BYTES),
@@ -214,6 +247,7 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": _OP9,
     "op10_warc": _OP10,
     "op11_vector_codes": _OP11,
+    "op12_conversation_trie": _OP12,
 }
 
 
