@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, codes, decontaminate, html, near, packing, prefixes, quality, rules, shards, substrings, warc
+from . import binary, codes, decontaminate, html, near, packing, prefixes, prints, quality, rules, shards, substrings, warc
 from .store import table
 
 #: A document's ids end with this one.
@@ -76,6 +76,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(table(spark, sf_dir, "conversations")).drop("place")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 
