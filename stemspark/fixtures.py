@@ -80,3 +80,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("long").alias("run_id"), F.col("o_custkey").cast("long").alias("dataset_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("step_completed")
     )
+
+
+def distorted(spark: SparkSession, sf_dir: str, size: int, order: int) -> DataFrame:
+    """Shifts on a detector of size x size pixels that follow a polynomial of that order, of a few pixels: places and weights
+    from `lineitem`."""
+    items = table(spark, sf_dir, "lineitem")
+    at = items.groupBy((F.col("l_orderkey") % size).cast("int").alias("det_y"), ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % size).cast("int").alias("det_x")).agg(F.sum("l_quantity").alias("weight"))
+    u, v = (F.col("det_y") - size // 2) / (size // 2), (F.col("det_x") - size // 2) / (size // 2)
+    y, x = 2 * u - v, v - u / 2
+    for degree in range(2, order + 1):
+        y, x = y + F.pow(u, F.lit(degree - 1)) * v * 3 / degree, x - F.pow(v, F.lit(degree)) * 2 / degree
+    return at.select(F.lit(f"{size}").alias("dataset_id"), "det_y", "det_x", y.alias("shift_y"), x.alias("shift_x"), "weight")

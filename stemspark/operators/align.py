@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,7 +213,8 @@ def center_shifts_on_pixel(shifts: DataFrame) -> DataFrame:
 
 
 def fit_moments(shifts: DataFrame, order: int, u0: float, v0: float, intercept: bool = True, weight: Column | None = None, weight_power: int = 1) -> DataFrame:
-    """Sums of the normal equations, one row a data set: m_i_j, y_i, x_i. At most 21 terms."""
+    """Sums of the normal equations, one row a data set: m_i_j, y_i, x_i. At most 21 terms. They are good for comparison and
+    low orders; fit_distortion solves from a QR."""
     terms = poly_terms(F.col("det_y") - u0, F.col("det_x") - v0, order, intercept)
     w = F.pow(F.greatest(weight if weight is not None else F.lit(1.0), F.lit(0.0)) + 1e-12, F.lit(weight_power))
     sums = [F.sum(w * terms[i] * terms[j]).alias(f"m_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
@@ -220,23 +222,81 @@ def fit_moments(shifts: DataFrame, order: int, u0: float, v0: float, intercept:
     return shifts.groupBy("dataset_id").agg(*sums)
 
 
+def _design(u: np.ndarray, v: np.ndarray, order: int, intercept: bool) -> np.ndarray:
+    """The columns of scalar.poly_terms as a matrix."""
+    return np.stack([u ** (degree - b) * v**b for degree in range(0 if intercept else 1, order + 1) for b in range(degree + 1)], 1)
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The triangle of a QR of some rows, square even where there are fewer rows than columns. Triangles of parts, put one
+    under the other, have the triangle of the whole."""
+    r = np.linalg.qr(rows, mode="r")
+    return np.pad(r, ((0, rows.shape[1] - len(r)), (0, 0)))
+
+
+def _triangle_task(order: int, u0: float, v0: float, intercept: bool) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), object)
+            y, x, *values, w = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(1, 6))
+            rows = np.column_stack([_design(y - u0, x - v0, order, intercept), *values]) * w[:, None]
+            for id_ in dict.fromkeys(ids.tolist()):
+                mine = rows[[i == id_ for i in ids.tolist()]]
+                found[id_] = _triangle(np.concatenate([found[id_], mine]) if id_ in found else mine)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int32()), pa.array([r.ravel().tolist() for r in found.values()], pa.list_(pa.float64()))], names=["dataset_id", "part", "r"]
+        )
+
+    return task
+
+
+def _stacked(table: pa.Table, k: int) -> np.ndarray:
+    return _triangle(np.array(table.column("r").to_pylist()).reshape(-1, k))
+
+
+def fit_triangles(shifts: DataFrame, order: int, u0: float, v0: float, intercept: bool = True, weight: Column | None = None, weight_power: int = 1) -> DataFrame:
+    """dataset_id, r: the triangle of a QR of the weighted terms (columns) with shift_y and shift_x, one row a data set.
+
+    Each task makes one of its rows, batch by batch; those of up to GROUPED tasks are put together first and then all."""
+    w = F.sqrt(F.pow(F.greatest(weight if weight is not None else F.lit(1.0), F.lit(0.0)) + 1e-12, F.lit(weight_power)))
+    rows = shifts.select(*_AT, "shift_y", "shift_x", w.alias("w")).dropna(subset=["det_y", "det_x", "shift_y", "shift_x", "w"])
+    k = (order + 1) * (order + 2) // 2 - (0 if intercept else 1) + 2
+    each = rows.mapInArrow(_triangle_task(order, u0, v0, intercept), "dataset_id string, part int, r array<double>")
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"dataset_id": table.column("dataset_id")[:1], "r": pa.array([_stacked(table, k).ravel().tolist()], pa.list_(pa.float64()))})
+
+    some = each.groupBy("dataset_id", F.expr(f"part div {GROUPED}").alias("group")).applyInArrow(merged, "dataset_id string, r array<double>")
+    return some.groupBy("dataset_id").applyInArrow(merged, "dataset_id string, r array<double>")
+
+
+#: Triangles (23 x 23 numbers at most) that one task puts together.
+GROUPED = 256
+
+
 def _solve_task(k: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                m = np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                cy, cx = (np.linalg.lstsq(m, np.array([row[f"{n}_{i}"] for i in range(k)]), rcond=None)[0] for n in "yx")
-                rows += [(row["dataset_id"], i, float(cy[i]), float(cx[i])) for i in range(k)]
+            for id_, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                r = np.array(r).reshape(k + 2, k + 2)
+                size = np.linalg.norm(r[:k, :k], axis=0)
+                size[size == 0] = 1
+                c = np.linalg.lstsq(r[:k, :k] / size, r[:k, k:], rcond=1e-13)[0] / size[:, None]
+                rows += [(id_, i, float(cy), float(cx)) for i, (cy, cx) in enumerate(c)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["dataset_id", "term", "coef_y", "coef_x"])
 
     return task
 
 
 def fit_distortion(shifts: DataFrame, order: int, u0: float, v0: float, intercept: bool = True, weight: Column | None = None, weight_power: int = 1) -> DataFrame:
-    """dataset_id, term, coef_y, coef_x of a weighted polynomial fit of the shifts over the detector."""
+    """dataset_id, term, coef_y, coef_x of a weighted polynomial fit of the shifts over the detector, from a QR of the
+    weighted terms (their squares, in normal equations, lose the fine terms). Rows with a null place, shift or weight
+    don't count; where there are too few places for the terms, the smallest coefficients are taken."""
     k = (order + 1) * (order + 2) // 2 - (0 if intercept else 1)
-    return fit_moments(shifts, order, u0, v0, intercept, weight, weight_power).mapInArrow(_solve_task(k), "dataset_id string, term int, coef_y double, coef_x double")
+    return fit_triangles(shifts, order, u0, v0, intercept, weight, weight_power).mapInArrow(_solve_task(k), "dataset_id string, term int, coef_y double, coef_x double")
 
 
 def distortion_residuals(shifts: DataFrame, coefficients: DataFrame, order: int, u0: float, v0: float, intercept: bool = True) -> DataFrame:

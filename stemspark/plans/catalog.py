@@ -994,6 +994,23 @@ def distortion_residuals(spark, sf):
     return _round(out.select("det_y", "det_x", "ry", "rx"), "ry", "rx", digits=8)
 
 
+@query
+def fit_distortion_orders(spark, sf):
+    """Fits of orders 1 to 5 on detectors of 64 x 64 and 256 x 256 pixels, weighted, without a constant: how far each is from
+    the polynomial that the shifts are of, and what the fit gives."""
+    out = None
+    for size in (64, 256):
+        for order in range(1, 6):
+            shifts = fx.distorted(spark, sf, size, order)
+            fit = align.fit_distortion(shifts, order, size // 2, size // 2, False, F.col("weight"), 2)
+            left = align.distortion_residuals(shifts, fit, order, size // 2, size // 2, False)
+            far = F.round(F.max(F.greatest(F.abs("ry"), F.abs("rx"))), 6)
+            one = left.agg(F.count(F.lit(1)).alias("n"), (far + 0.0).alias("farthest"), F.round(F.sum(F.abs("fit_y")), 3).alias("sum_y"), F.round(F.sum(F.abs("fit_x")), 3).alias("sum_x"))
+            one = one.select(F.lit(size).alias("size"), F.lit(order).alias("fit_order"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def best_order(spark, sf):
     """RMSE of the residuals for orders 1 to 4 of the fit."""

@@ -125,6 +125,18 @@ cl AS (SELECT y, o AS x, sum(w * c) AS total FROM rw JOIN wx USING (det_y, det_x
 )
 
 
+def _distorted() -> str:
+    """Sums of the polynomials of fixtures.distorted(); a fit of their own order leaves nothing."""
+    rows = []
+    for size in (64, 256):
+        for order in range(1, 6):
+            y = " + ".join(["2 * u - v", *(f"u ** {d - 1} * v * 3 / {d}" for d in range(2, order + 1))])
+            x = " - ".join(["v - u / 2", *(f"v ** {d} * 2 / {d}" for d in range(2, order + 1))])
+            rows.append(f"""SELECT {size} AS size, {order} AS fit_order, count(*) AS n, 0.0::DOUBLE AS farthest, {_r(f'sum(abs({y}))', 'sum_y', 3)}, {_r(f'sum(abs({x}))', 'sum_x', 3)} FROM (
+                SELECT DISTINCT (l_orderkey % {size} - {size // 2}) / {size / 2}::DOUBLE AS u, ((l_partkey * 31 + l_suppkey) % {size} - {size // 2}) / {size / 2}::DOUBLE AS v FROM lineitem)""")
+    return " UNION ALL ".join(rows)
+
+
 def _superres(shifts: str, threshold: float) -> str:
     """Shift-and-add of every pixel within three of the middle, on a grid twice as fine with a border of two."""
     return f"""
@@ -377,6 +389,7 @@ SQL: dict[str, str] = {
     "fit_moments": _with(_SHIFTS, f"SELECT {_MOMENTS} FROM (SELECT *, det_y - 4.0::DOUBLE AS u, det_x - 4.0::DOUBLE AS v, quality + 1e-12 AS w FROM ce)"),
     "fit_distortion": _with(_PLANE, f"SELECT CAST(0 AS INTEGER) AS term, {_r('ay', 'coef_y', 8)}, {_r('ax', 'coef_x', 8)} FROM pl UNION ALL SELECT 1, {_r('uy', 'coef_y', 8)}, {_r('ux', 'coef_x', 8)} FROM pl UNION ALL SELECT 2, {_r('vy', 'coef_y', 8)}, {_r('vx_', 'coef_x', 8)} FROM pl"),
     "distortion_residuals": _with(_PLANE, f"SELECT det_y, det_x, {_r('shift_y - ay - uy * (det_y - 3.5) - vy * (det_x - 3.5)', 'ry', 8)}, {_r('shift_x - ax - ux * (det_y - 3.5) - vx_ * (det_x - 3.5)', 'rx', 8)} FROM ce, pl"),
+    "fit_distortion_orders": _distorted(),
     "best_order": _with(_ORTHOGONAL, f"SELECT CAST(fit_order AS INTEGER) AS fit_order, {_r('sqrt(((SELECT sum(shift_y ** 2 + shift_x ** 2) FROM ce) - sum(part)) / 64)', 'rmse_vector', 4)} FROM ex JOIN (SELECT unnest([1, 2, 3, 4]) AS fit_order) ON degree <= fit_order GROUP BY fit_order"),
     "reconstruct_superres": _with(_SHIFTS + "," + _superres("sf", 0.3) % 6, "SELECT y, x, value, n FROM sr"),
     "contribution_map": _with(_SHIFTS + "," + _superres("sf", 0.3) % 6, "SELECT y, x, n AS value FROM sr"),
