@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import scalar
-from ..operators import align, detect, geometry, layout, meta, select, spectral, stats
+from ..operators import align, detect, geometry, layout, meta, select, spectral, stats, strips
 from ..sources import cubes, mib, scratch
 from ..streaming import frames as live
 from . import oracles, superres
@@ -867,6 +867,35 @@ def ifft_scan(spark, sf):
     return _round(layout.images_to_rows(back).drop("dataset_id"), "value", digits=3)
 
 
+def _strips(spark: SparkSession, sf: str) -> DataFrame:
+    """Strips of a quarter of the scan's rows, so that every image lies in several tasks."""
+    h, w = _size(spark, sf)
+    return strips.row_strips(fx.frames(spark, sf), h, w, -(-h // 4))
+
+
+@query
+def fft_strips(spark, sf):
+    """fft_scan's energies of images that are split into strips."""
+    _, w = _size(spark, sf)
+    power = strips.energy(strips.fft_strips(_strips(spark, sf), -(-w // 4))).join(fx.extents(fx.table(spark, sf, "embeddings"), "emb", 8, 8), "dataset_id")
+    return _round(power.select("det_y", "det_x", (F.col("energy") / (F.col("scan_h") * F.col("scan_w"))).alias("energy")), "energy", digits=0)
+
+
+@query
+def ifft_strips(spark, sf):
+    _, w = _size(spark, sf)
+    back = strips.strip_rows(strips.ifft_strips(strips.fft_strips(_strips(spark, sf), -(-w // 4)), -(-w // 4)))
+    return _round(back.select("det_y", "det_x", "y", "x", F.col("re").alias("value")), "value", digits=3)
+
+
+@query
+def correlate_strips(spark, sf):
+    """cross_correlate by strips: the reference is smoothed by strips as well."""
+    some = _strips(spark, sf)
+    ref = strips.smooth_strips(some.where("det_y = 4 and det_x = 4"), 0.5, 4)
+    return _round(strips.correlate_strips(some, ref, 4).drop("dataset_id"), "corr")
+
+
 @query
 def pixel_images(spark, sf):
     return layout.images_to_rows(_images(spark, sf))

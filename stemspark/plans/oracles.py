@@ -361,6 +361,8 @@ SQL: dict[str, str] = {
     "poly_terms": _with(_PATTERN, "SELECT det_y, det_x, " + ", ".join(f"{p}::DOUBLE AS t{k}" if k == 0 else f"{p} AS t{k}" for k, p in enumerate(_POLY)) + " FROM (SELECT *, CAST(det_y - 4 AS DOUBLE) AS u, CAST(det_x - 4 AS DOUBLE) AS v FROM pt)"),
     # spectra
     "fft_scan": _with(_FRAMES, "SELECT det_y, det_x, round(CAST(sum(CAST(count AS BIGINT) * count) AS DOUBLE), 0) + 0.0 AS energy FROM vx GROUP BY ALL"),
+    "fft_strips": _with(_FRAMES, "SELECT det_y, det_x, round(CAST(sum(CAST(count AS BIGINT) * count) AS DOUBLE), 0) + 0.0 AS energy FROM vx GROUP BY ALL"),
+    "ifft_strips": _with(_FRAMES, "SELECT det_y, det_x, scan_y AS y, scan_x AS x, CAST(count AS DOUBLE) + 0.0 AS value FROM vx"),
     "ifft_scan": _with(_FRAMES, "SELECT det_y, det_x, scan_y AS y, scan_x AS x, CAST(count AS DOUBLE) + 0.0 AS value FROM vx"),
     "pixel_images": _with(_FRAMES, "SELECT dataset_id, det_y, det_x, scan_y AS y, scan_x AS x, CAST(count AS DOUBLE) AS value FROM vx"),
     "dft_at": _with(_DFT, f"SELECT dataset_id, det_y, det_x, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM ft WHERE ky = 3 AND kx = 5"),
@@ -373,6 +375,7 @@ SQL: dict[str, str] = {
     ),
     # super-resolution
     "gaussian_smooth": _with(_FRAMES + "," + _SMOOTH, f"SELECT 'emb' AS dataset_id, det_y, det_x, y, x, {_r('value', 'value')} FROM sm"),
+    "correlate_strips": _with(_CORR, f"SELECT det_y, det_x, lag_y, lag_x, {_r('corr', 'corr')} FROM co"),
     "cross_correlate": _with(_CORR, f"SELECT det_y, det_x, lag_y, lag_x, {_r('corr', 'corr')} FROM co"),
     "peak_argmax": _with(_CORR, f"SELECT det_y, det_x, peak_y, peak_x, {_r('peak', 'peak')} FROM pk"),
     "peak_neighbourhood": _with(_CORR, 'SELECT det_y, det_x, round(up, 6) + 0.0 AS up, round(down, 6) + 0.0 AS down, round("left", 6) + 0.0 AS "left", round("right", 6) + 0.0 AS "right" FROM nb'),
