@@ -9,13 +9,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import scalar
 from ..operators import align, detect, geometry, layout, meta, select, spectral, stats, strips
-from ..sources import cubes, mib, scratch
+from ..sources import cubes, mib, scratch, tiles
 from ..streaming import frames as live
 from . import oracles, superres
 from .runs import RunStore
@@ -219,13 +219,29 @@ def structure_inventory(spark, sf):
 
 @query
 def codec_study(spark, sf):
-    return cubes.codec_study(fx.frames(spark, sf), scratch.fresh(spark, "codecs")).select("codec", "layout", "raw_bytes", (F.col("size_bytes") > 0).alias("written"))
+    """What each layout and codec holds by three reads; compression saves bytes, and so do narrow types."""
+    study = cubes.codec_study(scratch.kept(fx.frames(spark, sf), "frames"), scratch.fresh(spark, "codecs"), budget=8192)
+    return study.select("codec", "layout", "raw_bytes", "frame_sum", "pixel_sum", "region_sum", (F.abs(F.col("ratio") * F.col("size_bytes") - F.col("raw_bytes")) < 1).alias("ratio_of_files"))
+
+
+@query
+def read_tiles(spark, sf):
+    """A box of scan positions and detector pixels, from tiles whose borders it crosses."""
+    path = scratch.fresh(spark, "tiles")
+    tiles.write_tiles(fx.frames(spark, sf), path, (4, 5, 3, 8))
+    return tiles.read_tiles(spark, path, "emb", (2, 9, 3, 12), (1, 7, 0, 5)).drop("dataset_id")
 
 
 @query
 def rank_layouts(spark, sf):
-    study = cubes.codec_study(fx.frames(spark, sf), scratch.fresh(spark, "codecs"), ("none", "zstd"))
-    return stats.rank_layouts(study).select("codec", "layout")
+    """Three layouts of the voxels by their bytes: two bytes each, one byte with a side table, places and values of those
+    that aren't 0."""
+    n, over, some = F.count(F.lit(1)), F.count_if(F.col("count") >= 255), F.count_if(F.col("count") > 0)
+    size = _voxels(spark, sf).agg((2 * n).alias("raw_bytes"), F.array(F.struct(F.lit("u16").alias("codec"), (2 * n).alias("b")), F.struct(F.lit("u8").alias("codec"), (n + 13 * over).alias("b")), F.struct(F.lit("sparse").alias("codec"), (6 * some).alias("b"))).alias("l"))
+    sizes = size.select("raw_bytes", F.explode("l").alias("l")).select("l.codec", F.lit("voxel").alias("layout"), F.col("l.b").alias("size_bytes"), "raw_bytes")
+    ranked = stats.rank_layouts(sizes)
+    place = F.row_number().over(Window.orderBy(F.desc("ratio"), "codec"))  # three rows
+    return _round(ranked.select("codec", "layout", "size_bytes", "ratio", place.alias("place")), "ratio")
 
 
 @query

@@ -205,7 +205,19 @@ SQL: dict[str, str] = {
     "read_ndata": _with(_CONTEXT, """SELECT 'row-' || y AS dataset_id, CAST(0 AS INTEGER) AS y, x, CAST(value AS DOUBLE) AS value, '{"row": ' || y || '}' AS metadata FROM cx"""),
     "write_fft_result": _with(_DFT, f"SELECT dataset_id, det_y, det_x, ky, kx, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM ft WHERE ky < 2 AND kx < 3"),
     "detect_results": _with(_DATASETS, "SELECT dataset_id, CASE WHEN n_frames % 3 = 0 THEN 'cropped' ELSE 'full' END AS mode FROM ds WHERE n_frames % 2 = 1"),
-    "codec_study": _with(_SIZE, "SELECT codec, layout, n * 128 AS raw_bytes, TRUE AS written FROM cnt, (SELECT unnest(['none', 'snappy', 'gzip', 'zstd', 'lz4_raw']) AS codec), (SELECT unnest(['frame', 'voxel']) AS layout)"),
+    "codec_study": _with(
+        _FRAMES,
+        """SELECT codec, layout, n * 128 AS raw_bytes, f AS frame_sum, p AS pixel_sum, r AS region_sum, TRUE AS ratio_of_files FROM cnt,
+        (SELECT CAST(sum(CASE WHEN scan_y = 0 AND scan_x = 0 THEN count END) AS BIGINT) AS f, CAST(sum(CASE WHEN det_y = 4 AND det_x = 4 THEN count END) AS BIGINT) AS p,
+          CAST(sum(CASE WHEN scan_y < (sh + 1) // 2 AND scan_x < (sw + 1) // 2 THEN count END) AS BIGINT) AS r FROM vx, sz),
+        (SELECT unnest(['none', 'snappy', 'gzip', 'zstd', 'lz4_raw']) AS codec), (SELECT unnest(['frame', 'voxel', 'tile_frame', 'tile_pixel', 'tile_balanced']) AS layout)""",
+    ),
+    "rank_layouts": _with(
+        _FRAMES,
+        f"""SELECT codec, 'voxel' AS layout, size_bytes, {_r('2 * n / CAST(size_bytes AS DOUBLE)', 'ratio')}, CAST(row_number() OVER (ORDER BY 2 * n / CAST(size_bytes AS DOUBLE) DESC, codec) AS INTEGER) AS place
+        FROM (SELECT count(*) AS n, unnest(['u16', 'u8', 'sparse']) AS codec, unnest([2 * count(*), count(*) + 13 * count(*) FILTER (count >= 255), 6 * count(*) FILTER (count > 0)]) AS size_bytes FROM vx)""",
+    ),
+    "read_tiles": _with(_FRAMES, "SELECT scan_y, scan_x, det_y, det_x, CAST(count AS BIGINT) AS count FROM vx WHERE scan_y BETWEEN 2 AND 8 AND scan_x BETWEEN 3 AND 11 AND det_y BETWEEN 1 AND 6 AND det_x <= 4"),
     "structure_inventory": _with(
         _SIZE,
         "SELECT 'frames' AS \"table\", n AS n_rows, c AS \"column\", t AS type FROM cnt, (SELECT unnest(['dataset_id', 'frame_idx', 'scan_y', 'scan_x', 'det_h', 'det_w', 'counts']) AS c, unnest(['string', 'bigint', 'int', 'int', 'int', 'int', 'array<int>']) AS t)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
 from collections.abc import Iterator
 
@@ -12,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mib
+from ..operators.layout import explode_voxels
+from . import mib, tiles
 
 _IMAGE = "dataset_id string, y int, x int, value double, metadata string"
 
@@ -107,20 +109,53 @@ def export_structure(inventory: DataFrame, path: str) -> None:
     inventory.write.mode("overwrite").json(path)
 
 
-def codec_study(frames: DataFrame, folder: str, codecs: tuple[str, ...] = ("none", "snappy", "gzip", "zstd", "lz4_raw")) -> DataFrame:
-    """The cube as Parquet in frame and voxel layouts by every codec: codec, layout, size_bytes, raw_bytes, seconds to write."""
-    import time
+def _file_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the data files under a path, as the file system tells them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
-    from ..operators.layout import explode_voxels
 
-    spark, out = frames.sparkSession, None
-    raw = frames.agg(F.sum(2 * F.size("counts")).alias("raw_bytes"))
-    for layout, rows in (("frame", frames), ("voxel", explode_voxels(frames))):
+def codec_study(frames: DataFrame, folder: str, codecs: tuple[str, ...] = ("none", "snappy", "gzip", "zstd", "lz4_raw"), budget: int = tiles.BUDGET) -> DataFrame:
+    """One cube as Parquet in every layout by every codec: codec, layout, size_bytes, raw_bytes, ratio, write_s, and for
+    each of three reads (one frame, the image of one detector pixel, a region of a quarter of the scan) the seconds that it took
+    and the sum that it found: frame_s, frame_sum, pixel_s, pixel_sum, region_s, region_sum.
+
+    Layouts are frames, voxels, and tiles of the shapes that `budget` gives for each pattern of reads."""
+    spark = frames.sparkSession
+    size = frames.agg(F.sum(2 * F.size("counts")).alias("raw"), *((F.max(c) + 1).alias(c) for c in ("scan_y", "scan_x")), F.max("det_h").alias("det_h"), F.max("det_w").alias("det_w")).first()
+    if not size.raw:
+        return spark.createDataFrame([], _STUDY)
+    extents = (size.scan_y, size.scan_x, size.det_h, size.det_w)
+    h, w, dh, dw = extents
+    reads = {"frame": ((0, 1, 0, 1), None), "pixel": (None, (dh // 2, dh // 2 + 1, dw // 2, dw // 2 + 1)), "region": ((0, -(-h // 2), 0, -(-w // 2)), None)}
+    rows = []
+    for layout in ("frame", "voxel", *(f"tile_{p}" for p in tiles.PATTERNS)):
         for codec in codecs:
             path, began = f"{folder}/{layout}-{codec}", time.time()
-            rows.write.mode("overwrite").option("compression", codec).parquet(path)
-            took = time.time() - began
-            files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).groupBy("f").agg(F.first("s").alias("s"))
-            one = files.agg(F.sum("s").alias("size_bytes")).crossJoin(raw).select(F.lit(codec).alias("codec"), F.lit(layout).alias("layout"), "size_bytes", "raw_bytes", F.lit(took).alias("seconds"))
-            out = one if out is None else out.unionByName(one)
-    return out
+            if layout in ("frame", "voxel"):
+                table = frames if layout == "frame" else explode_voxels(frames)
+                table.write.mode("overwrite").option("compression", codec).parquet(path)
+            else:
+                tiles.write_tiles(frames, path, tiles.tile_shape(extents, layout.removeprefix("tile_"), budget), codec)
+            found = [time.time() - began]
+            for scan, det in reads.values():
+                began = time.time()
+                got = tiles.read_tiles(spark, path, None, scan, det) if layout.startswith("tile_") else _some_voxels(spark.read.parquet(path), layout, scan, det)
+                total = got.agg(F.sum("count")).first()[0]
+                found += [time.time() - began, int(total or 0)]
+            bytes_ = _file_bytes(spark, path)
+            rows.append((codec, layout, bytes_, size.raw, size.raw / bytes_, *found))
+    return spark.createDataFrame(rows, _STUDY)
+
+
+_STUDY = "codec string, layout string, size_bytes long, raw_bytes long, ratio double, write_s double, frame_s double, frame_sum long, pixel_s double, pixel_sum long, region_s double, region_sum long"
+
+
+def _some_voxels(table: DataFrame, layout: str, scan: tuple | None, det: tuple | None) -> DataFrame:
+    """Voxels in boxes as tiles.read_tiles takes them, from frames or voxels."""
+    if scan:
+        table = table.where((F.col("scan_y") >= scan[0]) & (F.col("scan_y") < scan[1]) & (F.col("scan_x") >= scan[2]) & (F.col("scan_x") < scan[3]))
+    table = explode_voxels(table) if layout == "frame" else table
+    if det:
+        table = table.where((F.col("det_y") >= det[0]) & (F.col("det_y") < det[1]) & (F.col("det_x") >= det[2]) & (F.col("det_x") < det[3]))
+    return table
