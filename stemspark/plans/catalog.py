@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import scalar
 from ..operators import align, detect, geometry, layout, meta, select, spectral, stats, strips
-from ..sources import cubes, mib, scratch, tiles
+from ..sources import cubes, footers, mib, scratch, tiles
 from ..streaming import frames as live
 from . import oracles, superres
 from .runs import RunStore
@@ -201,6 +201,27 @@ def write_fft_result(spark, sf):
     return _round(low.select("dataset_id", "det_y", "det_x", "ky", "kx", "re", "im"), "re", "im", digits=4)
 
 
+@query
+def cached_slice(spark, sf):
+    """A box of a hundredth of a cached result: what it holds, and that its row groups are less than a tenth of all."""
+    path = scratch.fresh(spark, "fft")
+    h, w = _size(spark, sf)
+    cubes.write_fft_result(spectral.frequencies(spectral.fft_scan(_images(spark, sf))), path, "full", 1 << 11)
+    box = {"ky": (0, -(-h // 4) - 1), "kx": (0, -(-w // 4) - 1), "det_y": (0, 2), "det_x": (0, 2)}
+    found = cubes.read_cached_result(spark, path, *(f"{c} between {lo} and {hi}" for c, (lo, hi) in box.items()))
+    groups = footers.overlapping(footers.row_groups(spark, path), box)
+    share = groups.agg((F.count_if("needed") < F.count(F.lit(1)) / 10).alias("few_groups"))
+    return found.agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("re"), 1) + 0.0).alias("re")).crossJoin(share)  # one row each
+
+
+@query
+def structure_statistics(spark, sf):
+    path = scratch.fresh(spark, "frames")
+    fx.frames(spark, sf).write.parquet(path)
+    out = cubes.structure_statistics(spark, {"frames": path}).where("column in ('counts', 'frame_idx', 'scan_y')")
+    return _round(out, "lo", "hi", "mean", "sd", digits=4)
+
+
 @query
 def detect_results(spark, sf):
     modes = fx.datasets(spark, sf).select("dataset_id", F.explode(F.array(F.lit("full"), F.lit("cropped"))).alias("mode"), "n_frames")

@@ -218,6 +218,14 @@ SQL: dict[str, str] = {
         FROM (SELECT count(*) AS n, unnest(['u16', 'u8', 'sparse']) AS codec, unnest([2 * count(*), count(*) + 13 * count(*) FILTER (count >= 255), 6 * count(*) FILTER (count > 0)]) AS size_bytes FROM vx)""",
     ),
     "read_tiles": _with(_FRAMES, "SELECT scan_y, scan_x, det_y, det_x, CAST(count AS BIGINT) AS count FROM vx WHERE scan_y BETWEEN 2 AND 8 AND scan_x BETWEEN 3 AND 11 AND det_y BETWEEN 1 AND 6 AND det_x <= 4"),
+    "cached_slice": _with(_DFT, "SELECT count(*) AS n, round(sum(re), 1) + 0.0 AS re, TRUE AS few_groups FROM ft, sz WHERE ky < (sh + 3) // 4 AND kx < (sz.sw + 3) // 4 AND det_y < 3 AND det_x < 3"),
+    "structure_statistics": _with(
+        _FRAMES,
+        " UNION ALL ".join(
+            f"""SELECT 'frames' AS "table", '{c}' AS "column", (SELECT n FROM cnt) AS n_rows, CAST(count(*) AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS nulls, CAST(min({v}) AS DOUBLE) AS lo, CAST(max({v}) AS DOUBLE) AS hi, {_r(f'avg({v})', 'mean', 4)}, {_r(f'stddev_pop({v})', 'sd', 4)} FROM {t}"""
+            for c, v, t in (("counts", "count", "vx"), ("frame_idx", "frame_idx", "(SELECT DISTINCT frame_idx FROM vx)"), ("scan_y", "scan_y", "(SELECT DISTINCT frame_idx, scan_y FROM vx)"))
+        ),
+    ),
     "structure_inventory": _with(
         _SIZE,
         "SELECT 'frames' AS \"table\", n AS n_rows, c AS \"column\", t AS type FROM cnt, (SELECT unnest(['dataset_id', 'frame_idx', 'scan_y', 'scan_x', 'det_h', 'det_w', 'counts']) AS c, unnest(['string', 'bigint', 'int', 'int', 'int', 'int', 'array<int>']) AS t)"

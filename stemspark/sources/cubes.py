@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.layout import explode_voxels
-from . import mib, tiles
+from . import footers, mib, tiles
 
 _IMAGE = "dataset_id string, y int, x int, value double, metadata string"
 
@@ -78,10 +78,35 @@ def verify_written(spark: SparkSession, path: str, expected: DataFrame) -> DataF
     return out.select("dataset_id", "n_frames", F.coalesce("found", F.lit(0).cast("long")).alias("found"), good.alias("ok"))
 
 
-def write_fft_result(freqs: DataFrame, path: str, mode_name: str) -> None:
-    """A transform under (dataset_id, mode); one that is there for the same data set and mode is replaced."""
-    rows = freqs.withColumn("mode", F.lit(mode_name))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "mode").parquet(path)
+def _spread(column: Column) -> Column:
+    """Sixteen bits with three free ones before each."""
+    x = column.cast("long")
+    for shift, mask in ((24, 0x000000FF000000FF), (12, 0x000F000F000F000F), (6, 0x0303030303030303), (3, 0x1111111111111111)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def morton(columns: dict[str, int]) -> Column:
+    """The place of up to four columns (name: greatest value, below 32768) on a space-filling curve: their bits in turn, the
+    highest first, each axis stretched to the same length."""
+    out = F.lit(0).cast("long")
+    for k, (name, most) in enumerate(columns.items()):
+        out = out.bitwiseOR(F.shiftleft(_spread(F.shiftleft(F.col(name), 14 - max(0, int(most).bit_length() - 1))), 3 - k))
+    return out
+
+
+def clustered(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """rows dealt and sorted along the curve over some columns of whole numbers, so that boxes in all of them are few runs."""
+    most = rows.agg(*(F.max(n).alias(n) for n in names)).first()
+    at = morton({n: most[n] or 0 for n in names})
+    return rows.withColumn("_at", at).repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")
+
+
+def write_fft_result(freqs: DataFrame, path: str, mode_name: str, group_bytes: int = 8 << 20) -> None:
+    """A transform under (dataset_id, mode); one that is there for the same data set and mode is replaced. Rows follow a curve
+    over frequency and detector, so that a slice in these four skips most row groups (of about group_bytes)."""
+    rows = clustered(freqs, ("ky", "kx", "det_y", "det_x")).withColumn("mode", F.lit(mode_name))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", group_bytes).partitionBy("dataset_id", "mode").parquet(path)
 
 
 def read_cached_result(spark: SparkSession, path: str, *where) -> DataFrame:
@@ -105,6 +130,18 @@ def structure_inventory(spark: SparkSession, tables: dict[str, str]) -> DataFram
     return out
 
 
+def structure_statistics(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """For each table and column: table, column, n_rows, n_values, nulls, lo and hi from the footers alone, and mean and sd of
+    numbers (of the items of lists) from moments that tasks merge."""
+    out = None
+    for name, path in tables.items():
+        told = footers.column_ranges(footers.row_groups(spark, path)).select("column", "n_rows", "n_values", "nulls", "lo", "hi")
+        sums = footers.merge_moments(footers.column_moments(spark.read.parquet(path))).drop("n")
+        rows = told.join(sums, "column", "left").select(F.lit(name).alias("table"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def export_structure(inventory: DataFrame, path: str) -> None:
     inventory.write.mode("overwrite").json(path)
 
