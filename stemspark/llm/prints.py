@@ -1,7 +1,7 @@
 """Fingerprints of documents that tell which paragraphs differ, in DataFrame operations alone.
 
-A text is cut into paragraphs at line ends and after sentences, long ones every LONG characters, so that the pieces hold
-all of it. The fingerprint is an invertible Bloom lookup sketch of the distinct paragraphs' digests: each digest is added to
+A text is cut into paragraphs that end with a line or a sentence: the first such end after SHORT characters, or LONG more
+where there is none, so that the pieces hold all of it. The fingerprint is an invertible Bloom lookup sketch of the distinct paragraphs' digests: each digest is added to
 one cell of each of three tables, a cell holds the number of its digests and the exclusive or of the digests and of their
 check hashes. Two sketches are subtracted cell by cell, so what both documents hold is gone; cells with one digest left
 are peeled until none is left, and the differing digests are known. Likeness is the Jaccard similarity of both sets of
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .store import Scratch, kept, long_id, parts
 
-#: Characters of a paragraph without a sentence's or a line's end.
-LONG = 200
-PARAGRAPH = rf"[^.!?\n]{{1,{LONG}}}[.!?\n]*|[.!?\n]+"
+#: Characters of a paragraph before an end of a line or sentence counts, and those after that without one.
+SHORT, LONG = 60, 200
+PARAGRAPH = rf"[\s\S]{{1,{SHORT}}}[^.!?\n]{{0,{LONG}}}[.!?\n]*"
 #: Cells of each of the three tables: those of a fingerprint first, then those of each retry.
 WIDTHS = (8, 32, 128, 4096)
 #: Digests of both documents in one group of a retry.
@@ -64,9 +64,17 @@ def _sketch(digests_: str, rung: int) -> str:
     return _let(items, "items", cells)
 
 
-def _peeled(a: str, b: str, rung: int, rounds: int = 16) -> str:
-    """How many digests the first and the second sketch have alone, by peeling their difference; null if that fails."""
-    difference = f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x, 'h', p.h ^ q.h))"
+def _difference(items: str, rung: int) -> str:
+    """The cells of two documents' digests at once (items: c, d, t; t is 0 for the first document's): those of the second are
+    subtracted as they come."""
+    placed = f"transform({items}, e -> named_struct('c', e.c, 'd', e.d, 's', 1 - 2 * e.t, 'at', {_cells_of('e.d', rung)}))"
+    add = "aggregate(filter(items, e -> array_contains(e.at, i)), named_struct('n', 0, 'x', 0L, 'h', 0), (v, e) -> named_struct('n', v.n + e.s, 'x', v.x ^ e.d, 'h', v.h ^ e.c))"
+    return _let(placed, "items", f"transform(sequence(0, {3 * WIDTHS[rung] - 1}), i -> {add})")
+
+
+def _peeled(difference: str, rung: int, rounds: int = 16) -> str:
+    """How many digests the first and the second document have alone, by peeling the difference of their sketches; null if that
+    fails."""
     single = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND c.h = hash(c.x)), c -> named_struct('d', c.x, 's', c.n, 'c', c.h)))"
     single = f"transform({single}, p -> named_struct('d', p.d, 's', p.s, 'c', p.c, 'at', {_cells_of('p.d', rung)}))"
     less = "transform(s.cells, (c, i) -> aggregate(filter(single, p -> array_contains(p.at, i)), c, (v, p) -> named_struct('n', v.n - p.s, 'x', v.x ^ p.d, 'h', v.h ^ p.c)))"
@@ -77,6 +85,11 @@ def _peeled(a: str, b: str, rung: int, rounds: int = 16) -> str:
     return f"aggregate(sequence(1, {rounds}), {start}, (s, k) -> if(s.live, {step}, s), s -> {ends})"
 
 
+def _subtracted(a: str, b: str) -> str:
+    """The difference of two sketches, cell by cell."""
+    return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x, 'h', p.h ^ q.h))"
+
+
 def _retried(a: str, b: str) -> str:
     """The same from arrays of digests, by groups of their hashes; null if some group fails at every width."""
     elements = ", ".join(f"transform({x}, d -> named_struct('c', hash(d), 'd', d, 't', {t}))" for t, x in enumerate((a, b)))
@@ -85,17 +98,15 @@ def _retried(a: str, b: str) -> str:
     add = "named_struct('done', s.done, 'now', concat(s.now, array(e)), 'g', s.g)"
     next_ = "named_struct('done', concat(s.done, array(s.now)), 'now', array(e), 'g', shiftrightunsigned(e.c, 32 - bits))"
     groups = _let(bits, "bits", f"aggregate(sort_array(concat({elements})), {nothing}, (s, e) -> if(shiftrightunsigned(e.c, 32 - bits) = s.g, {add}, {next_}), s -> concat(s.done, array(s.now)))")
-    own = [f"transform(filter(g, e -> e.t = {t}), e -> e.d)" for t in (0, 1)]
-    tries = ", ".join(_peeled(_sketch("p", rung), _sketch("q", rung), rung) for rung in range(len(WIDTHS)))
-    found = f"transform({groups}, g -> {_let(own[0], 'p', _let(own[1], 'q', f'coalesce({tries})'))})"
+    tries = ", ".join(_peeled(_difference("g", rung), rung) for rung in range(len(WIDTHS)))
     total = "named_struct('a', aggregate(r, 0, (v, x) -> v + x.a), 'b', aggregate(r, 0, (v, x) -> v + x.b))"
-    return _let(found, "r", f"if(exists(r, x -> x IS NULL), null, {total})")
+    return _let(f"transform({groups}, g -> coalesce({tries}))", "r", f"if(exists(r, x -> x IS NULL), null, {total})")
 
 
 def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     """Jaccard similarity of two sets of paragraphs (columns of digests and of their sketches)."""
     both = f"if(r IS NULL, null, if(size({b}) + r.a = 0, 1D, double(size({a}) - r.a) / (size({b}) + r.a)))"
-    return F.expr(_let(f"coalesce({_peeled(sketch_a, sketch_b, 0)}, {_retried(a, b)})", "r", both))
+    return F.expr(_let(f"coalesce({_peeled(_subtracted(sketch_a, sketch_b), 0)}, {_retried(a, b)})", "r", both))
 
 
 def as_text(sketch: str) -> Column:
