@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences by linear grouping.
 
-Large lengths are sorted, cut into GROUPS groups of equal cardinality and rounded up to the longest of the group; how
-many bins of each configuration of these few sizes are needed is a linear programme, solved by column generation;
-the documents take the places of their groups, longest with longest, and these bins stay as they are. What the whole
-numbers of bins leave over and then the small lengths go where they fit best: into the room that rounding left in the
-bins of configurations, and into bins of their own.
+Large lengths are sorted, cut into groups of equal cardinality and rounded up to the longest of the group; how
+many bins of each configuration of these few sizes are needed is a linear programme, solved by column generation.
+Actual documents then take the places of a configuration: its longest places those of their groups, longest first, and its
+shortest place, whose room the others' rounding has widened, the longest document that fits there. What the whole
+numbers of bins leave over and then the small lengths go where they fit best: into the room that is left in the
+bins of configurations, and into bins of their own. Several numbers of groups compete, and where plain best fit would need fewer bins than the
+best of them, the least-filled bins are emptied and packed again until it doesn't.
 
 All of this works on counts: at most `capacity` lengths go to the driver, and what comes back is a list of classes
 of equal bins whose size depends on the capacity alone. Documents find their places by their rank among the pieces
@@ -18,7 +20,7 @@ matter.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from .store import kept, long_id, parts
 from .tokens import BLOCK_BYTES, encoder
 
 CAPACITY = 1024
-#: Rounding costs at most (1 - SMALL) / GROUPS of the large pieces' bins; small pieces fill much of that room.
+#: The finest grouping; half and a quarter as many groups compete with it.
 GROUPS = 256
 #: A length of at most this share of the capacity is small.
 SMALL = 1 / 8
@@ -94,18 +96,24 @@ def _worthy(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+#: The inverse of the basis is computed anew after so many steps, and the search ends after so many without gain.
+FRESH, STUCK = 200, 400
+
+
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Configurations and how many bins of each cover `need`, fractions allowed: within half a bin of the fewest.
 
     Column generation: the basis takes in the most worthy configuration at its prices, until by these prices no set of
-    bins can be better by half a bin. Needs are made a little different so that no step is without gain."""
+    bins can be better by half a bin. Needs are made a little different so that no step is without gain; if STUCK steps bring
+    none all the same, or the basis can't be inverted any more, what is there stands: it covers `need` as well."""
     k = len(sizes)
     need = need * (1 + 1e-7 * np.arange(1, k + 1) / k)
     patterns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1 / np.diag(patterns))
     level = inverse @ need
     pool = np.zeros((0, k), np.int64)
-    while True:
+    best, steps, since = level.sum(), 0, 0
+    while since < STUCK:
         price = inverse.sum(0)
         value = pool @ price
         if not len(pool) or value.max() <= 1 + 1e-6:
@@ -119,12 +127,25 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[t
         ratio = np.full(k, np.inf)
         np.divide(level, d, out=ratio, where=d > 1e-11)
         out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
         patterns[:, out] = new
-        row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
-        inverse[out] = row
-        level = np.maximum(level - d * ratio[out], 0)
-        level[out] = ratio[out]
+        steps, since = steps + 1, since + 1
+        if steps % FRESH:
+            row = inverse[out] / d[out]
+            inverse -= np.outer(d, row)
+            inverse[out] = row
+            level = np.maximum(level - d * ratio[out], 0)
+            level[out] = ratio[out]
+        else:
+            try:
+                inverse = np.linalg.inv(patterns)
+            except np.linalg.LinAlgError:
+                level[out] = ratio[out]
+                break
+            level = np.maximum(inverse @ need, 0)
+        if level.sum() < best * (1 - 1e-7):
+            best, since = level.sum(), 0
     return [(patterns[:, j].astype(np.int64), float(level[j])) for j in range(k)]
 
 
@@ -164,61 +185,92 @@ class _Bins:
         return [c for room in self.rooms for c in self.by_room[room]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple[int, ...]]]:
-    """Classes of equal bins, (number of bins, lengths in one), that hold counts[length] items of each length."""
-    full, left = grouped(counts, capacity, groups)
-    bins = _Bins(capacity)
+Classes = list[tuple[int, tuple[int, ...]]]
+
+
+def _filled(full: Classes, left: dict[int, int], capacity: int, room: int) -> Classes:
+    """The bins of configurations with what is left in them and in bins of its own; those with at least `room` tokens free
+    are emptied first."""
+    bins, again = _Bins(capacity), dict(left)
     for n, items in full:
-        bins.add(n, items)
-    for s in sorted(left, reverse=True):
-        bins.fit(s, left[s])
+        if capacity - sum(items) < room:
+            bins.add(n, items)
+        else:
+            for s in items:
+                again[s] = again.get(s, 0) + n
+    for s in sorted(again, reverse=True):
+        bins.fit(s, again[s])
     return bins.classes()
 
 
-def grouped(counts: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+def n_bins(classes: Classes) -> int:
+    return sum(n for n, _ in classes)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Classes:
+    """Classes of equal bins, (number of bins, lengths in one), that hold counts[length] items of each length: never more bins than
+    best fit of the lengths in falling order."""
+    tokens = sum(s * n for s, n in counts.items())
+    tried: list[tuple[Classes, dict[int, int]]] = []
+    found: list[Classes] = []
+    for g in dict.fromkeys(max(1, groups // k) for k in (4, 2, 1)):
+        tried.append(grouped(counts, capacity, g))
+        found.append(_filled(*tried[-1], capacity, capacity + 1))
+        if n_bins(found[-1]) * capacity < tokens + capacity:  # no plan has fewer
+            break
+    k = min(range(len(found)), key=lambda i: n_bins(found[i]))
+    plain = n_bins(_filled([], {s: n for s, n in counts.items() if n > 0}, capacity, 0))
+    out, room = found[k], capacity // 4
+    while n_bins(out) > plain:
+        out, room = _filled(*tried[k], capacity, room), room // 2 if room > 1 else room - 1
+    return out
+
+
+def grouped(counts: dict[int, int], capacity: int, groups: int) -> tuple[Classes, dict[int, int]]:
     """Classes of bins that the configurations of the grouped large lengths fill, and the counts of what is left."""
-    full: list[tuple[int, tuple[int, ...]]] = []
+    full: Classes = []
     left = {s: n for s, n in counts.items() if n > 0}
     large = np.array(sorted((s for s in left if s > SMALL * capacity), reverse=True), np.int64)
-    if len(large):
-        n = np.array([left[s] for s in large])
-        upto = np.cumsum(n)
-        size_of_group = -(-int(upto[-1]) // groups)
-        group = (upto - 1) // size_of_group  # all items of a length go with its last one
-        _, first, group = np.unique(group, return_index=True, return_inverse=True)
-        sizes, need = large[first], np.bincount(group, n)
-        queue = [[[int(s), int(c)] for s, c in zip(large[group == g], n[group == g], strict=True)] for g in range(len(sizes))]
-        for pattern, level in sorted(configurations(sizes, need, capacity), key=lambda x: -x[1]):
-            whole = int(level + 1e-6)
-            places = np.repeat(np.arange(len(sizes)), pattern).tolist()
-            while whole and places:
-                lists = {g: queue[g] for g in places}
-                if any(sum(c for _, c in lists[g]) < places.count(g) for g in lists):
-                    break
-                run, items = whole, []
-                for g in lists:  # as many equal bins as the front of each list allows
-                    want, k = places.count(g), 0
-                    front = queue[g]
-                    if front[0][1] >= want:
-                        run = min(run, front[0][1] // want)
-                        items += [(g, 0, want)]
-                    else:
-                        run = 1
-                        while want:
-                            use = min(want, front[k][1])
-                            items += [(g, k, use)]
-                            want -= use
-                            k += 1
-                full.append((run, tuple(s for g, k, use in items for s in [queue[g][k][0]] * use)))
-                for g, k, use in items:
-                    queue[g][k][1] -= use * run
-                for g in lists:
-                    queue[g][:] = [x for x in queue[g] if x[1]]
-                whole -= run
-        for s in large.tolist():
-            left[s] = 0
-        for s, c in (x for q in queue for x in q):
-            left[s] += c
+    if not len(large):
+        return full, left
+    n = np.array([left[s] for s in large])
+    upto = np.cumsum(n)
+    size_of_group = -(-int(upto[-1]) // groups)
+    group = (upto - 1) // size_of_group  # all items of a length go with its last one
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    sizes, need = large[first], np.bincount(group, n)
+    longest = [large[group == g].tolist() for g in range(len(sizes))]  # of each group, those that are left, longest first
+    lengths = large[::-1].tolist()  # that are left
+    group_of = dict(zip(large.tolist(), group.tolist(), strict=True))
+
+    def documents(places: list[int]) -> dict[int, int] | None:
+        """Lengths for one bin: of the groups of all places but the last, and the longest that fits the last."""
+        used: dict[int, int] = {}
+        room = capacity
+        for g in places[:-1]:
+            s = next((x for x in longest[g] if left[x] > used.get(x, 0)), None)
+            if s is None:
+                return None
+            used[s] = used.get(s, 0) + 1
+            room -= s
+        for k in range(bisect_right(lengths, room) - 1, -1, -1):
+            if left[lengths[k]] > used.get(lengths[k], 0):
+                used[lengths[k]] = used.get(lengths[k], 0) + 1
+                return used
+        return None
+
+    for pattern, level in sorted(configurations(sizes, need, capacity), key=lambda x: -x[1]):
+        whole = int(level + 1e-6)
+        places = np.repeat(np.arange(len(sizes)), pattern).tolist()  # groups of longer documents first
+        while whole and places and (used := documents(places)):
+            run = min(whole, *(left[s] // n for s, n in used.items()))  # as many equal bins as there are of these lengths
+            full.append((run, tuple(s for s, n in used.items() for _ in range(n))))
+            whole -= run
+            for s, n in used.items():
+                left[s] -= n * run
+                if not left[s]:
+                    longest[group_of[s]].remove(s)
+                    lengths.remove(s)
     return full, left
 
 
