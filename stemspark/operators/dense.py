@@ -54,6 +54,66 @@ def masked_sum(frames: DataFrame, inside: Callable) -> DataFrame:
     return rows.mapInArrow(_mask_task(inside), "dataset_id string, scan_y int, scan_x int, value long")
 
 
+def _masks_task(inside: dict[str, Callable]) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for part, h, w in by_shape(batch, 3, 4):
+                if (h, w) not in masks:
+                    y, x = np.divmod(np.arange(h * w), w)
+                    masks[h, w] = [np.flatnonzero(f(y, x, h, w)) for f in inside.values()]
+                values = matrices(part.column(5))
+                totals_ = [pa.array(values[:, m].sum(1, dtype=np.int64)) for m in masks[h, w]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *totals_], names=[*SCAN, *inside])
+
+    return task
+
+
+def masked_sums(frames: DataFrame, inside: dict[str, Callable]) -> DataFrame:
+    """masked_sum for several masks in one pass, a column each. Without state, so it works on streams as well."""
+    rows = frames.select(*SCAN, "det_h", "det_w", "counts")
+    return rows.mapInArrow(_masks_task(inside), "dataset_id string, scan_y int, scan_x int, " + ", ".join(f"`{n}` long" for n in inside))
+
+
+Runs = list[tuple[int, int, int, float]]
+
+
+def run_lengths(rows: list[tuple[int, int, float]]) -> Runs:
+    """Pixels (y, x, weight) as runs in a row of equal weight: y, first x, x after the last, weight. Pixels given again add
+    their weights."""
+    weight: dict[tuple[int, int], float] = {}
+    for y, x, w in rows:
+        weight[y, x] = weight.get((y, x), 0) + w
+    out: Runs = []
+    for (y, x), w in sorted(weight.items()):
+        if out and out[-1][0] == y and out[-1][2] == x and out[-1][3] == w:
+            out[-1] = (*out[-1][:2], x + 1, w)
+        else:
+            out.append((y, x, x + 1, w))
+    return out
+
+
+def _runs_task(runs: Runs, whole: bool) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, h, w in by_shape(batch, 3, 4):
+                values = matrices(part.column(5)).astype(np.int64 if whole else float)
+                total = np.zeros(len(part), values.dtype)
+                for y, lo, hi, weight in runs:
+                    lo, hi = max(lo, 0), min(hi, w)
+                    if 0 <= y < h and lo < hi:
+                        total += values[:, y * w + lo : y * w + hi].sum(1) * (int(weight) if whole else weight)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(total)], names=[*SCAN, "value"])
+
+    return task
+
+
+def weighted_runs(frames: DataFrame, runs: Runs, whole: bool) -> DataFrame:
+    """Sums of frames over runs of pixels times their weights, a row a frame; nothing is shuffled."""
+    kind = "long" if whole else "double"
+    return frames.select(*SCAN, "det_h", "det_w", "counts").mapInArrow(_runs_task(runs, whole), f"dataset_id string, scan_y int, scan_x int, value {kind}")
+
+
 def _sum_task(weights: Callable, kind: type) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}

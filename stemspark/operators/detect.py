@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.let import let
 from ..schemas import SCAN
-from .dense import masked_sum, summed, totals
+from .dense import masked_sum, run_lengths, summed, totals, weighted_runs
 from .select import flip_energy, in_annulus, in_disk
 
 
@@ -44,17 +44,25 @@ def apply_mask(voxels: DataFrame, mask: DataFrame) -> DataFrame:
     return voxels.join(mask, ["det_y", "det_x"]).groupBy(*SCAN).agg(F.sum(F.col("count") * F.col("w")).alias("value"))
 
 
+def mask_frames(frames: DataFrame, mask: DataFrame) -> DataFrame:
+    """apply_mask on frames, a row a frame: the mask (det_y, det_x, and w for weights) goes to the tasks as runs of pixels, at
+    most one a detector pixel, and is summed inside Arrow batches; no voxel is made and nothing is shuffled."""
+    whole = "w" not in mask.columns or dict(mask.dtypes)["w"] in ("tinyint", "smallint", "int", "bigint")
+    pixels = mask.select("det_y", "det_x", *(["w"] if "w" in mask.columns else [])).dropna()
+    rows = [(r[0], r[1], r[2] if "w" in mask.columns else 1) for r in (pixels if "w" in mask.columns else pixels.distinct()).collect()]  # a detector's pixels
+    return weighted_runs(frames, run_lengths(rows), whole)
+
+
 def energy_window_image(frames: DataFrame, e0: int = 10, e1: int = 200) -> DataFrame:
     """Sum over all detector rows and the channels e0 to e1 (excluded), clamped to the detector."""
     return masked_sum(frames, lambda y, x, h, w: (x >= max(e0, 0)) & (x < min(e1, w)))
 
 
 def roi_spectrum(frames: DataFrame) -> DataFrame:
-    """Mean over the frames and the shorter detector axis, for each channel of the longer one."""
-    rows = frames.select("dataset_id", "det_h", "det_w", F.posexplode("counts").alias("pos", "count"))
-    y, x = F.expr("cast(pos div det_w as int)"), (F.col("pos") % F.col("det_w")).cast("int")
-    channel = F.when(F.col("det_w") >= F.col("det_h"), x).otherwise(y)
-    return rows.groupBy("dataset_id", channel.alias("channel")).agg(F.avg("count").alias("value"))
+    """Mean over the frames and the shorter detector axis, for each channel of the longer one. Frames are added up inside tasks."""
+    rows = summed(frames, totals).join(frames.select("dataset_id", "det_h", "det_w").distinct(), "dataset_id")
+    channel = F.when(F.col("det_w") >= F.col("det_h"), F.col("det_x")).otherwise(F.col("det_y"))
+    return rows.groupBy("dataset_id", channel.alias("channel")).agg((F.sum("a") / F.sum("n")).alias("value"))
 
 
 def sum_pattern(frames: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -501,6 +501,13 @@ def apply_mask(spark, sf):
     return detect.apply_mask(_voxels(spark, sf), select.disk_mask(spark, 8, 8, 4, 4, 2))
 
 
+@query
+def mask_frames(spark, sf):
+    """A weighted ring by runs of pixels, on frames."""
+    mask = select.annulus_mask(spark, 8, 8, 4, 4, 1, 3).withColumn("w", F.col("det_y") + 2 * F.col("det_x"))
+    return detect.mask_frames(fx.frames(spark, sf), mask)
+
+
 @query
 def apply_weights(spark, sf):
     mask = select.annulus_mask(spark, 8, 8, 4, 4, 1, 3).withColumn("w", F.col("det_y") + 2 * F.col("det_x"))
@@ -1175,18 +1182,20 @@ def late_duplicate_frames(spark, sf):
     return _streamed(spark, rows.unionByName(rows), lambda s: live.first_arrivals(s, "3650 days")).select("dataset_id", "frame_idx")
 
 
-def _two_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, list[dict]]:
+def _two_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, list[Row]]:
     """A stream of first arrivals that stops after half of the events and goes on from its checkpoint when the rest is
-    there: the table that both runs wrote, and the metrics of each run."""
+    there: the table that both runs wrote, and the metrics after each run."""
     source, target, checkpoint = (scratch.fresh(spark, n) for n in ("arriving", "live", "live-checkpoint"))
     rows = fx.arrivals(spark, sf).select("dataset_id", "frame_idx", "ts")
-    told = []
+    told, log = [], live.ProgressLog(spark, scratch.fresh(spark, "progress"))
     for half in (0, 1):
         rows.where(F.col("frame_idx") % 2 == half).coalesce(1).write.mode("append").parquet(source)
         stream = live.first_arrivals(live.read_frames_stream(spark, source, rows.schema), "3650 days")
         q = live.run_to_table(stream, target, checkpoint)
         q.awaitTermination()
-        told.append(live.progress_metrics(q, rows.count()))
+        log.flush()
+        told.append(live.progress_metrics(spark, log.path, rows.count()).select("batches", "rows", "percent").first())  # one query
+    log.stop()
     return spark.read.schema(rows.schema).parquet(target), told
 
 
@@ -1201,21 +1210,26 @@ def progress_metrics(spark, sf):
     return spark.createDataFrame([(k + 1, m["rows"], m["percent"]) for k, m in enumerate(told)], "run int, rows long, percent double").transform(_round, "percent")
 
 
+@query
+def region_ready(spark, sf):
+    """Regions of three rows and ten columns of the scan, before and after the second part of the frames arrives, over a restart."""
+    source, target, checkpoint = (scratch.fresh(spark, n) for n in ("arriving", "live", "live-checkpoint"))
+    rows = fx.arrivals(spark, sf).select(F.lit("all").alias("dataset_id"), "frame_idx")
+    regions = spark.range(30).select(F.lit("all").alias("dataset_id"), F.col("id").alias("region"), F.lit(50).alias("scan_w"), *(F.expr(f"int({e})").alias(n) for n, e in (("y0", "id"), ("y1", "id + 3"), ("x0", "id"), ("x1", "id + 10"))))
+    out = None
+    for run in (1, 2):
+        rows.where((F.col("frame_idx") % 201 < 150) == (run == 1)).repartition(2).write.mode("append").parquet(source)
+        live.keep_masks(live.completion_masks(live.read_frames_stream(spark, source, rows.schema)), target, checkpoint).awaitTermination()
+        one = scratch.kept(live.region_ready(live.current_masks(spark, target), regions), "ready").select(F.lit(run).alias("run"), "region", "ready")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def completion_state(spark, sf):
-    """The last state of the counts, from a stream in update mode."""
+    """Counts of the bits of the last masks, from a stream in update mode."""
     source, target = scratch.fresh(spark, "arriving"), scratch.fresh(spark, "live")
-    rows = fx.arrivals(spark, sf).select("dataset_id", "frame_idx", "ts")
-    rows.repartition(3).write.parquet(source)
-    sets = scratch.kept(_arrival_sets(spark, sf), "datasets")
-    state = live.completion_state(live.read_frames_stream(spark, source, rows.schema), sets, "3650 days")
-    q = (
-        state.writeStream.foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(target))
-        .outputMode("update")
-        .option("checkpointLocation", scratch.fresh(spark, "live-checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    last = spark.read.parquet(target).groupBy("dataset_id").agg(F.max_by(F.struct("received", "percent"), "batch").alias("s"))
-    return _round(last.select("dataset_id", "s.*"), "percent")
+    rows = fx.arrivals(spark, sf).select("dataset_id", "frame_idx")
+    rows.unionByName(rows.where("frame_idx % 3 = 0")).repartition(3).write.parquet(source)
+    live.keep_masks(live.completion_masks(live.read_frames_stream(spark, source, rows.schema)), target, scratch.fresh(spark, "live-checkpoint")).awaitTermination()
+    return _round(live.completion_state(live.current_masks(spark, target), _arrival_sets(spark, sf)), "percent")

@@ -283,6 +283,9 @@ SQL: dict[str, str] = {
     # joins and sets
     "apply_mask": _overview(w=_disk("WHERE {d} <= 4")),
     "apply_weights": _with(_FRAMES, _disk("SELECT dataset_id, scan_y, scan_x, CAST(sum(count * (det_y + 2 * det_x)) AS BIGINT) AS value FROM vx WHERE {d} BETWEEN 1 AND 9 GROUP BY ALL")),
+    "mask_frames": _with(_FRAMES, _disk("SELECT dataset_id, scan_y, scan_x, CAST(sum(count * (det_y + 2 * det_x)) AS BIGINT) AS value FROM vx WHERE {d} BETWEEN 1 AND 9 GROUP BY ALL")),
+    "region_ready": """SELECT run, region, bool_and(EXISTS (SELECT 1 FROM events e WHERE e.event_id = y * 50 + x AND (run = 2 OR e.event_id % 201 < 150))) AS ready
+        FROM (SELECT run, CAST(r AS BIGINT) AS region, r + dy AS y, r + dx AS x FROM (SELECT unnest([1, 2]) AS run), range(30) t(r), range(3) a(dy), range(10) b(dx)) GROUP BY run, region""",
     "join_context_image": _with(_FRAMES, "SELECT dataset_id, scan_y, scan_x, CAST(sum(count) AS BIGINT) AS total, CAST(any_value(label) AS INTEGER) AS value FROM vx JOIN embeddings ON vec_id = frame_idx GROUP BY ALL"),
     "join_reference_fft": _with(_DFT, f"SELECT f.det_y, f.det_x, ky, kx, {_r('f.re * r.re + f.im * r.im', 're', 1)}, {_r('f.im * r.re - f.re * r.im', 'im', 1)} FROM ft f JOIN (SELECT ky, kx, re, im FROM ft WHERE det_y = 0 AND det_x = 0) r USING (ky, kx)"),
     "join_shift_map": _with(_SHIFTS, f"SELECT det_y, det_x, shift_y, shift_x, {_r('quality', 'quality')}, CAST(value AS DOUBLE) AS total FROM sf JOIN pt USING (det_y, det_x) WHERE quality > 0.3"),
@@ -439,6 +442,6 @@ SQL: dict[str, str] = {
     "live_virtual_images": _with(_FRAMES, f"SELECT dataset_id, scan_y, scan_x, CAST(sum(CASE WHEN {_disk('{d} <= 1')} THEN count ELSE 0 END) AS BIGINT) AS bf, CAST(sum(CASE WHEN {_disk('{d} BETWEEN 4 AND 9')} THEN count ELSE 0 END) AS BIGINT) AS df FROM vx GROUP BY ALL"),
     "late_duplicate_frames": _with(_ARRIVALS, "SELECT DISTINCT dataset_id, frame_idx FROM ar"),
     "stop_resume": _with(_ARRIVALS, "SELECT DISTINCT dataset_id, frame_idx FROM ar"),
-    "progress_metrics": "SELECT CAST(run AS INTEGER) AS run, count(*) AS rows, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM events), 6) + 0.0 AS percent FROM (SELECT event_id % 2 + 1 AS run FROM events) GROUP BY run",
+    "progress_metrics": "SELECT CAST(run AS INTEGER) AS run, count(*) AS rows, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM events), 6) + 0.0 AS percent FROM (SELECT unnest([1, 2]) AS run), events WHERE event_id % 2 < run GROUP BY run",
     "completion_state": _with(_ARRIVALS, f"SELECT dataset_id, count(DISTINCT frame_idx) AS received, {_r('100 * count(DISTINCT frame_idx) / max(n_frames)', 'percent')} FROM ad JOIN ar USING (dataset_id) GROUP BY dataset_id"),
 }
