@@ -16,6 +16,11 @@ def complex_phase(re: Column, im: Column) -> Column:
     return F.atan2(im, re)
 
 
+def complex_real(re: Column, im: Column) -> Column:
+    """The real part, as a view of its own beside amplitude and phase."""
+    return re + 0.0
+
+
 def complex_mul_conj(a_re: Column, a_im: Column, b_re: Column, b_im: Column) -> tuple[Column, Column]:
     """a times the conjugate of b."""
     return a_re * b_re + a_im * b_im, a_im * b_re - a_re * b_im

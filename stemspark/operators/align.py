@@ -502,3 +502,12 @@ def opposing_pixels(mask: DataFrame, cy: int, cx: int) -> DataFrame:
     other = mask.select(F.col("det_y").alias("opp_y"), F.col("det_x").alias("opp_x"))
     pairs = mask.join(other, (F.col("opp_y") == 2 * cy - F.col("det_y")) & (F.col("opp_x") == 2 * cx - F.col("det_x")))
     return pairs.where((F.col("det_y") < F.col("opp_y")) | (F.col("det_y") == F.col("opp_y")) & (F.col("det_x") < F.col("opp_x")))
+
+
+def last_write_per_target(writes: DataFrame, target: list[str], order: list[str], value: str = "value") -> DataFrame:
+    """Of all values written to one target the last: the one of the greatest order (columns compared in turn), and how many
+    there were. The greatest so far is kept inside each task, so a target may have any number of writes; of equal orders
+    the greatest value stays, whatever the order of the rows."""
+    at = F.struct(*order, value)
+    last = writes.groupBy(*target).agg(F.max(at).alias("_last"), F.count(F.lit(1)).alias("n"))
+    return last.select(*target, F.col(f"_last.{value}").alias(value), "n")

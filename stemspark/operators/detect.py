@@ -112,3 +112,14 @@ def detector_energy(frames: DataFrame, reference_energy: float = 1.0) -> DataFra
     total = summed(frames, totals, np.float64)
     norm = F.col("b") * reference_energy
     return total.select("dataset_id", "det_y", "det_x", F.when(norm < 1e-9, F.lit(1.0)).otherwise(norm).alias("norm"))
+
+
+def join_context_image(image: DataFrame, context: DataFrame) -> DataFrame:
+    """A scan image with the context image of its data set (dataset_id, scan_y, scan_x, value) at the same positions.
+
+    A context image of another extent than the scan is refused: the job ends with an error that names the data set."""
+    size = lambda df, n: df.groupBy("dataset_id").agg(F.struct((F.max("scan_y") + 1).alias("h"), (F.max("scan_x") + 1).alias("w")).alias(n))
+    both = size(image, "_scan").join(size(context, "_context"), "dataset_id")
+    told = F.concat(F.lit("context image of "), "dataset_id", F.lit(": "), F.to_json("_context"), F.lit(" is no scan of "), F.to_json("_scan"))
+    fits = both.select("dataset_id", F.when(F.col("_scan") == F.col("_context"), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")).alias("_fits"))
+    return image.join(context, ["dataset_id", "scan_y", "scan_x"]).join(fits, "dataset_id").where("_fits").drop("_fits")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import complex_abs, complex_phase
+from ..functions.scalar import complex_abs, complex_mul_conj, complex_phase
 from .dense import by_shape, matrices, scattered, summed
 from .select import sample_positions
 
@@ -116,3 +116,12 @@ def sampled_spectral_map(frames: DataFrame, n: int, seed: int = 42) -> DataFrame
     """Mean magnitude of the detector's transform at n sampled scan positions."""
     some = frames.join(sample_positions(frames, n, seed), ["dataset_id", "scan_y", "scan_x"], "left_semi")
     return some.select("dataset_id", "scan_y", "scan_x", "det_h", "det_w", "counts").mapInArrow(_frame_task, "dataset_id string, scan_y int, scan_x int, value double")
+
+
+def join_reference_fft(freqs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Every pixel's transform times the conjugate of its data set's reference (dataset_id, ky, kx, re, im, one a frequency):
+    dataset_id, det_y, det_x, ky, kx, re, im. A frequency meets as many rows as the detector has pixels; how they meet goes by
+    the reference's size."""
+    ref = reference.select("dataset_id", "ky", "kx", F.col("re").alias("_r"), F.col("im").alias("_i"))
+    re, im = complex_mul_conj(F.col("re"), F.col("im"), F.col("_r"), F.col("_i"))
+    return freqs.join(ref, ["dataset_id", "ky", "kx"]).select("dataset_id", "det_y", "det_x", "ky", "kx", re.alias("re"), im.alias("im"))

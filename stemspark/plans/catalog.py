@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions import scalar
+from ..functions import scalar, tables
 from ..operators import align, detect, geometry, layout, meta, select, spectral, stats, strips
 from ..sources import cubes, footers, mib, scratch, tiles
 from ..streaming import frames as live
@@ -493,6 +493,23 @@ def disk_mask(spark, sf):
     return _mean_pattern(spark, sf).join(disk.unionByName(ring), ["det_y", "det_x"]).select("part", "det_y", "det_x", "value")
 
 
+@query
+def masks_in_sql(spark, sf):
+    """disk_mask in SQL text alone: table functions of the session."""
+    tables.register(spark)
+    _mean_pattern(spark, sf).createOrReplaceTempView("mean_pattern")
+    return spark.sql("""
+        SELECT 'disk' AS part, det_y, det_x, value FROM mean_pattern JOIN disk_mask(8, 8, 4, 4, 2) USING (det_y, det_x) UNION ALL
+        SELECT 'annulus', det_y, det_x, value FROM mean_pattern JOIN annulus_mask(8, 8, 4, 4, 2, 3) USING (det_y, det_x)""")
+
+
+@query
+def last_write_per_target(spark, sf):
+    """Shifted pixels of all images written to a grid half as fine: of each place the last image's value stays."""
+    rows = _voxels(spark, sf).select("dataset_id", F.expr("int((scan_y + det_y) div 2)").alias("y"), F.expr("int((scan_x + det_x) div 2)").alias("x"), "det_y", "det_x", "scan_y", "scan_x", F.col("count").alias("value"))
+    return align.last_write_per_target(rows, ["dataset_id", "y", "x"], ["det_y", "det_x", "scan_y", "scan_x"])
+
+
 # --- joins and sets --------------------------------------------------------------------------------------------------
 
 
@@ -517,16 +534,14 @@ def apply_weights(spark, sf):
 @query
 def join_context_image(spark, sf):
     image = detect.scan_overview(fx.frames(spark, sf)).withColumnRenamed("value", "total")
-    return image.join(fx.context(spark, sf), ["dataset_id", "scan_y", "scan_x"])
+    return detect.join_context_image(image, fx.context(spark, sf))
 
 
 @query
 def join_reference_fft(spark, sf):
     """Transforms of all pixels times the conjugate of the first pixel's."""
     freqs = spectral.frequencies(spectral.fft_scan(_images(spark, sf)))
-    ref = freqs.where("det_y = 0 and det_x = 0").select("dataset_id", "ky", "kx", F.col("re").alias("r"), F.col("im").alias("i"))
-    re, im = scalar.complex_mul_conj(F.col("re"), F.col("im"), F.col("r"), F.col("i"))
-    out = freqs.join(ref, ["dataset_id", "ky", "kx"]).select("det_y", "det_x", "ky", "kx", re.alias("re"), im.alias("im"))
+    out = spectral.join_reference_fft(freqs, freqs.where("det_y = 0 and det_x = 0")).drop("dataset_id")
     return _round(out, "re", "im", digits=1)
 
 
@@ -809,7 +824,7 @@ def complex_views(spark, sf):
     df, v = _value(spark, sf)
     re, im = v - 40, v * 0.5 - 10
     a, b = scalar.complex_mul_conj(re, im, im, re)
-    return _round(df.select("event_id", scalar.complex_abs(re, im).alias("abs"), scalar.complex_phase(re, im).alias("phase"), a.alias("mul_re"), b.alias("mul_im")), "abs", "phase", "mul_re", "mul_im", digits=4)
+    return _round(df.select("event_id", scalar.complex_abs(re, im).alias("abs"), scalar.complex_phase(re, im).alias("phase"), scalar.complex_real(re, im).alias("real"), a.alias("mul_re"), b.alias("mul_im")), "abs", "phase", "real", "mul_re", "mul_im", digits=4)
 
 
 @query

@@ -280,6 +280,11 @@ SQL: dict[str, str] = {
     "first_frames": _overview(w="WHERE frame_idx < 100"),
     "pixel_difference": _with(_FRAMES, "SELECT dataset_id, scan_y, scan_x, 2 * counts[28] - counts[38] AS value FROM fr"),
     "disk_mask": _with(_PATTERN, _disk("SELECT 'disk' AS part, det_y, det_x, value FROM pt WHERE {d} <= 4 UNION ALL SELECT 'annulus', det_y, det_x, value FROM pt WHERE {d} BETWEEN 4 AND 9")),
+    "masks_in_sql": _with(_PATTERN, _disk("SELECT 'disk' AS part, det_y, det_x, value FROM pt WHERE {d} <= 4 UNION ALL SELECT 'annulus', det_y, det_x, value FROM pt WHERE {d} BETWEEN 4 AND 9")),
+    "last_write_per_target": _with(
+        _FRAMES,
+        "SELECT dataset_id, CAST((scan_y + det_y) // 2 AS INTEGER) AS y, CAST((scan_x + det_x) // 2 AS INTEGER) AS x, CAST(arg_max(count, ((det_y * 8 + det_x) * 100000 + scan_y) * 100000 + scan_x) AS INTEGER) AS value, count(*) AS n FROM (SELECT dataset_id, CAST(scan_y AS BIGINT) AS scan_y, CAST(scan_x AS BIGINT) AS scan_x, CAST(det_y AS BIGINT) AS det_y, CAST(det_x AS BIGINT) AS det_x, count FROM vx) GROUP BY 1, 2, 3",
+    ),
     # joins and sets
     "apply_mask": _overview(w=_disk("WHERE {d} <= 4")),
     "apply_weights": _with(_FRAMES, _disk("SELECT dataset_id, scan_y, scan_x, CAST(sum(count * (det_y + 2 * det_x)) AS BIGINT) AS value FROM vx WHERE {d} BETWEEN 1 AND 9 GROUP BY ALL")),
@@ -365,7 +370,7 @@ SQL: dict[str, str] = {
     "top_detector_pixels": _with(_SHIFTS, f"SELECT dataset_id, det_y, det_x, {_r('quality', 'quality')}, quality > 0.5 AS used FROM (SELECT * FROM sf ORDER BY quality DESC, det_y, det_x LIMIT 10)"),
     "pixel_usage": _with(_SHIFTS, f"SELECT dataset_id, count(*) FILTER (WHERE quality > 0.5) AS used, count(*) FILTER (WHERE quality <= 0.5) AS skipped, {_r('max(quality)', 'best')} FROM sf GROUP BY dataset_id"),
     # scalar functions
-    "complex_views": f"SELECT event_id, {_r('sqrt(a * a + b * b)', 'abs', 4)}, {_r('atan2(b, a)', 'phase', 4)}, {_r('a * b + b * a', 'mul_re', 4)}, {_r('b * b - a * a', 'mul_im', 4)} FROM (SELECT event_id, value - 40 AS a, value * 0.5 - 10 AS b FROM events)",
+    "complex_views": f"SELECT event_id, {_r('sqrt(a * a + b * b)', 'abs', 4)}, {_r('atan2(b, a)', 'phase', 4)}, {_r('a', 'real', 4)}, {_r('a * b + b * a', 'mul_re', 4)}, {_r('b * b - a * a', 'mul_im', 4)} FROM (SELECT event_id, value - 40 AS a, value * 0.5 - 10 AS b FROM events)",
     "log_scale": f"SELECT event_id, {_r('log10(greatest(abs(value), 1e-10))', 'log10_floor')}, {_r('log10(abs(value) + 1e-10)', 'log10_offset')}, {_r('ln(abs(value) + 1e-10)', 'ln_offset')}, {_r('ln(1 + abs(value))', 'log1p')}, {_r('sign(value - 40) * log10(abs(value - 40) + 1e-10)', 'signed_log10')} FROM events",
     "gamma_normalize": f"SELECT event_id, {_r('pow((value - lo) / (hi - lo), 0.8)', 'value')} FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)",
     "clip_and_round": "SELECT event_id, least(greatest(value, 10.0::DOUBLE), 60.0::DOUBLE) AS clipped, round_even(floor(value) + 0.5, 0) AS rounded FROM events",
