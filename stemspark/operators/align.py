@@ -371,6 +371,16 @@ def _last(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, len(at) - 1 - back
 
 
+def _strides(to: np.ndarray, from_: np.ndarray, step: int) -> list[tuple[slice, slice]] | None:
+    """Places and samples as slices: a shift moves all samples alike, so places are `step` apart but for those that the
+    border clips. None where they are not (halves that are rounded to either side)."""
+    cut = np.flatnonzero((np.diff(to) != step) | (np.diff(from_) != 1)) + 1
+    if len(cut) > 4:
+        return None
+    ends = zip([0, *cut.tolist()], [*cut.tolist(), len(to)], strict=True)
+    return [(slice(int(to[a]), int(to[b - 1]) + 1, step), slice(int(from_[a]), int(from_[b - 1]) + 1)) for a, b in ends]
+
+
 def _place_task(fac: int, pad: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -384,8 +394,15 @@ def _place_task(fac: int, pad: int) -> Callable:
                     ty = np.clip(np.round((y - (sy - h / 2 - pad / 2 / fac)) * fac), 0, big_h - 1).astype(int)
                     tx = np.clip(np.round((x - (sx - w / 2 - pad / 2 / fac)) * fac), 0, big_w - 1).astype(int)
                     (to_y, from_y), (to_x, from_x) = _last(ty), _last(tx)  # of several samples on one place the last counts
-                    total[np.ix_(to_y, to_x)] += values[k][np.ix_(from_y, from_x)]
-                    count[np.ix_(to_y, to_x)] += 1
+                    rows, columns = _strides(to_y, from_y, fac), _strides(to_x, from_x, fac)
+                    if rows and columns:
+                        for a, b in rows:
+                            for c, d in columns:
+                                total[a, c] += values[k, b, d]
+                                count[a, c] += 1
+                    else:
+                        total[np.ix_(to_y, to_x)] += values[k][np.ix_(from_y, from_x)]
+                        count[np.ix_(to_y, to_x)] += 1
         yield from sums.rows()
 
     return task
