@@ -3,7 +3,8 @@
 A document's key is 60 bits of the MD5 of its id. The directory begins with one bucket; a bucket over the byte limit
 splits on the next bit of the key, until each fits or holds a single key. Several bits are looked at in one round:
 bytes are summed for each cell of STEP more bits (before the shuffle first), and sums of shorter prefixes come
-from the cells. Only the keys of buckets that are still too large go into the next round.
+from the cells. Only the keys of buckets that are still too large go into the next round, which looks at LATER more bits: such a
+bucket holds a few limits of bytes as a rule, and cells that hold one document each would sum up nothing.
 
 Defined results: a null text has no bytes; a null id has the key of the empty string; rows of one id stay together,
 and a bucket that such a key, or one document, makes larger than the limit is marked oversized; an empty table
@@ -19,6 +20,7 @@ from .store import fresh, kept, parts
 
 BITS = 60
 STEP = 12
+LATER = 4
 SHARD_BYTES = 64 << 20
 
 
@@ -27,13 +29,18 @@ def key(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
+def _reach(base: int) -> int:
+    """How many bits a round looks at whose buckets have `base` bits."""
+    return min(BITS, base + (min(STEP, LATER) if base else STEP))
+
+
 def _prefix(bits: int) -> Column:
     return F.shiftright("key", BITS - bits)
 
 
 def _directory(rows: DataFrame, base: int, limit: int) -> DataFrame:
-    """For each cell of STEP more bits: depth, shard, bytes, rows, oversized of its bucket; depth is null if none fits."""
-    bits = min(BITS, base + STEP)
+    """For each cell of the bits that a round looks at: depth, shard, bytes, rows, oversized of its bucket; depth is null if none fits."""
+    bits = _reach(base)
     cells = rows.groupBy(_prefix(bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     first = base + 1 if base else 0
     upward = cells.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(bits))))
@@ -51,7 +58,7 @@ def directory(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id")
     rows = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key(F.col(id_col)).alias("key"))
     rows, base, out = kept(rows, "keys"), 0, []
     while True:
-        bits = min(BITS, base + STEP)
+        bits = _reach(base)
         cells = kept(_directory(rows, base, limit), "directory")
         out.append((bits, cells))
         if cells.where("depth is null").isEmpty():
