@@ -119,10 +119,24 @@ def correlation_rows(correlations: DataFrame) -> DataFrame:
     return out.select(*_AT, "scan_h", "scan_w", F.expr("cast(k div scan_w as int)").alias("lag_y"), (F.col("k") % F.col("scan_w")).cast("int").alias("lag_x"), "corr")
 
 
+def _best_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each detector pixel's lags in a batch the first greatest; as in Spark NaN is the greatest value and null the least."""
+    for batch in batches:
+        pixel = [batch.column(k).dictionary_encode("encode").indices.to_numpy() for k in range(5)]
+        w, y, x, corr = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(4, 8))
+        kind = np.where(batch.column(7).is_null().to_numpy(zero_copy_only=False), 2, ~np.isnan(corr))
+        order = np.lexsort((y * w + x, -np.where(kind == 1, corr, 0), kind, *pixel))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([np.diff(p[order]) != 0 for p in pixel], 0)
+        yield batch.take(pa.array(order[new]))
+
+
 def peak_argmax(rows: DataFrame) -> DataFrame:
-    """The first greatest lag of each detector pixel, row by row."""
+    """The first greatest lag of each detector pixel, row by row. Batches of lags are reduced before they are grouped, as the
+    greatest struct of a group is found by sorting its rows."""
+    rows = rows.select(*_AT, "scan_h", "scan_w", "lag_y", "lag_x", "corr")
     flat = F.col("lag_y") * F.col("scan_w") + F.col("lag_x")
-    best = rows.groupBy(*_AT, "scan_h", "scan_w").agg(F.max(F.struct(F.col("corr"), (-flat).alias("order"), "lag_y", "lag_x")).alias("p"))
+    best = rows.mapInArrow(_best_task, rows.schema).groupBy(*_AT, "scan_h", "scan_w").agg(F.max(F.struct(F.col("corr"), (-flat).alias("order"), "lag_y", "lag_x")).alias("p"))
     return best.select(*_AT, "scan_h", "scan_w", F.col("p.lag_y").alias("peak_y"), F.col("p.lag_x").alias("peak_x"), F.col("p.corr").alias("peak"))
 
 

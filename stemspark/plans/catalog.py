@@ -1013,6 +1013,13 @@ def _correlations(spark: SparkSession, sf: str) -> DataFrame:
     return align.correlation_rows(align.cross_correlate(images, align.centre_reference(images)))
 
 
+def _peaks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Correlations by row and their peaks, both written: lags aren't moved for the join with the few peaks, which goes by the
+    size of their files."""
+    rows = scratch.kept(_correlations(spark, sf), "correlations")
+    return rows, scratch.kept(align.peak_argmax(rows), "peaks")
+
+
 @query
 def cross_correlate(spark, sf):
     return _round(_correlations(spark, sf).select("det_y", "det_x", "lag_y", "lag_x", "corr"), "corr")
@@ -1025,22 +1032,22 @@ def peak_argmax(spark, sf):
 
 @query
 def peak_neighbourhood(spark, sf):
-    rows = scratch.kept(_correlations(spark, sf), "correlations")
-    out = align.peak_neighbourhood(rows, align.peak_argmax(rows))
+    rows, peaks = _peaks(spark, sf)
+    out = align.peak_neighbourhood(rows, peaks)
     return _round(out.select("det_y", "det_x", "up", "down", "left", "right"), "up", "down", "left", "right")
 
 
 @query
 def subpixel_quadratic(spark, sf):
-    rows = scratch.kept(_correlations(spark, sf), "correlations")
-    out = align.subpixel_quadratic(align.peak_neighbourhood(rows, align.peak_argmax(rows)))
+    rows, peaks = _peaks(spark, sf)
+    out = align.subpixel_quadratic(align.peak_neighbourhood(rows, peaks))
     return _round(out.select("det_y", "det_x", "shift_y", "shift_x", "quality"), "shift_y", "shift_x", "quality", digits=4)
 
 
 @query
 def subpixel_lstsq(spark, sf):
-    rows = scratch.kept(_correlations(spark, sf), "correlations")
-    out = align.subpixel_lstsq(align.peak_neighbourhood(rows, align.peak_argmax(rows), True))
+    rows, peaks = _peaks(spark, sf)
+    out = align.subpixel_lstsq(align.peak_neighbourhood(rows, peaks, True))
     return _round(out.select("det_y", "det_x", "shift_y", "shift_x", "quality"), "shift_y", "shift_x", "quality", digits=4)
 
 
