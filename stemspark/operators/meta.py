@@ -26,8 +26,10 @@ def infer_scan_size(datasets: DataFrame) -> DataFrame:
     """dataset_id, scan_h, scan_w of n_frames: of all factor pairs that with the least aspect ratio, the smaller first."""
     root = F.floor(F.sqrt(F.col("n_frames").cast("double"))).cast("long")
     pairs = datasets.where("n_frames > 0").select("dataset_id", "n_frames", F.explode(F.sequence(F.lit(1).cast("long"), root)).alias("i")).where("n_frames % i = 0")
-    best = pairs.groupBy("dataset_id").agg(F.max(F.struct("i", "n_frames")).alias("b"))  # the largest factor up to the root
-    return best.select("dataset_id", F.col("b.i").cast("int").alias("scan_h"), F.expr("cast(b.n_frames div b.i as int)").alias("scan_w"))
+    largest = pairs.groupBy("dataset_id", "n_frames").agg(F.max("i").alias("i"))  # the largest factor up to the root
+    size = largest.select("dataset_id", F.col("i").cast("int").alias("h"), F.expr("cast(n_frames div i as int)").alias("w"))
+    best = size.groupBy("dataset_id").agg(F.max(F.shiftleft(F.col("h").cast("long"), 32) + F.col("w")).alias("b"))  # a number, as the greatest struct is found by sorting
+    return best.select("dataset_id", F.shiftright("b", 32).cast("int").alias("scan_h"), (F.col("b") % (1 << 32)).cast("int").alias("scan_w"))
 
 
 def valid_bin_factors(size: Column) -> Column:
@@ -79,8 +81,9 @@ def recommended_bin_factor(datasets: DataFrame, budget_bytes: int) -> DataFrame:
     need = F.col("n_frames") * F.col("det_h") * F.col("det_w") * 2
     optimum = F.ceil(F.sqrt(need / (0.9 * budget_bytes))).cast("int")
     factors = datasets.select("dataset_id", optimum.alias("optimum"), F.explode(valid_bin_factors(F.least("det_h", "det_w"))).alias("f"))
-    best = factors.groupBy("dataset_id", "optimum").agg(F.min(F.struct(F.abs(F.col("f") - F.col("optimum")).alias("d"), "f")).alias("b"))
-    return best.select("dataset_id", "optimum", F.col("b.f").alias("bin_factor"))
+    near = F.coalesce(F.abs(F.col("f") - F.col("optimum")).cast("long") * 1024, F.lit(0)) + F.col("f")  # by distance, then by factor, of at most 512; a least struct is found by sorting
+    best = factors.groupBy("dataset_id", "optimum").agg(F.min(near).alias("b"))
+    return best.select("dataset_id", "optimum", (F.col("b") % 1024).cast("int").alias("bin_factor"))
 
 
 def slice_sizes(datasets: DataFrame, bytes_per_pixel: int = 2) -> DataFrame:
