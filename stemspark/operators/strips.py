@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .align import gauss_kernel
 from .dense import matrices
 
@@ -100,12 +101,14 @@ def _lines(row: dict) -> np.ndarray:
 
 def passed(strips: DataFrame, before: Line | None = None, after: Line | None = None, lines: int = 0) -> DataFrame:
     """Strips along the other axis: `before` works on the lines as they are, `after` on those of the new strips, of which each
-    has `lines` lines. One shuffle; neither may change the length of a line."""
+    has `lines` lines. One shuffle; neither may change the length of a line. Where the strips come with those of another
+    image (`ref`), they are multiplied by its conjugate first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 values = _lines(row)
+                values = values * np.conj(_lines(row | {"data": row["ref"]})) if "ref" in row else values
                 values = before(values) if before else values
                 step = lines_of(row["scan_h"] if row["axis"] == "y" else row["scan_w"], lines)
                 at = range(0, values.shape[1], step)
@@ -150,7 +153,7 @@ def strip_rows(strips: DataFrame) -> DataFrame:
                 values = _lines(row)
                 line, place = np.indices(values.shape)
                 y, x = (line + row["at"], place) if row["axis"] == "y" else (place, line + row["at"])
-                same = [pa.array([row[c]] * values.size, t) for c, t in (("dataset_id", pa.string()), ("det_y", pa.int32()), ("det_x", pa.int32()))]
+                same = [pa.repeat(pa.scalar(row[c], t), values.size) for c, t in (("dataset_id", pa.string()), ("det_y", pa.int32()), ("det_x", pa.int32()))]
                 columns = [pa.array(c.ravel().astype(np.int32)) for c in (y, x)] + [pa.array(np.ascontiguousarray(c.ravel())) for c in (values.real, values.imag)]
                 yield pa.RecordBatch.from_arrays([*same, *columns], names=["dataset_id", "det_y", "det_x", "y", "x", "re", "im"])
 
@@ -173,17 +176,13 @@ def correlate_strips(strips: DataFrame, reference: DataFrame, lines: int = 0) ->
     """Normalised squared circular correlations with the data set's reference (strips of one image a data set, of the same
     axis), a row a lag: dataset_id, det_y, det_x, lag_y, lag_x, corr, zero lag in the middle."""
 
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [(np.frombuffer(a.as_buffer(), complex) * np.conj(np.frombuffer(b.as_buffer(), complex))).tobytes() for a, b in zip(batch.column(7), batch.column(8), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(data, pa.binary())], schema=_SCHEMA)
-
     ref = fft_strips(reference, lines).select("dataset_id", "at", F.col("data").alias("ref"))
     both = fft_strips(strips, lines).join(ref, ["dataset_id", "at"]).select(*_SCHEMA.names, "ref")
-    found = strip_rows(ifft_strips(both.mapInArrow(product, STRIPS), lines)).drop("im")
+    found = strip_rows(ifft_strips(both, lines)).drop("im")
     size = strips.select("dataset_id", "scan_h", "scan_w").distinct()
     norm = energy(strips).join(energy(reference).select("dataset_id", F.col("energy").alias("other")), "dataset_id").join(size, "dataset_id")
     norm = norm.withColumn("norm", F.when(F.col("energy") * F.col("other") < 1e-9, 1.0).otherwise(F.col("energy") * F.col("other")))
     lag = lambda c, n: F.pmod(F.col(c) + F.expr(f"int({n} div 2)"), F.col(n)).alias(f"lag_{c}")
-    found = found.join(norm.drop("energy", "other"), ["dataset_id", "det_y", "det_x"])
+    norm = kept(norm.drop("energy", "other"), "norm")  # a row a detector pixel; lags aren't moved to join a table that is known to be small
+    found = found.join(norm, ["dataset_id", "det_y", "det_x"])
     return found.select("dataset_id", "det_y", "det_x", lag("y", "scan_h"), lag("x", "scan_w"), (F.col("re") * F.col("re") / F.col("norm")).alias("corr"))

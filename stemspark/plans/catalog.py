@@ -949,8 +949,9 @@ def ifft_strips(spark, sf):
 
 @query
 def correlate_strips(spark, sf):
-    """cross_correlate by strips: the reference is smoothed by strips as well."""
-    some = _strips(spark, sf)
+    """cross_correlate by strips: the reference is smoothed by strips as well. Strips are read four times, so they are written;
+    a task that reads them needs one Python worker where one that makes them needs another for each step."""
+    some = scratch.kept(_strips(spark, sf), "strips")
     ref = strips.smooth_strips(some.where("det_y = 4 and det_x = 4"), 0.5, 4)
     return _round(strips.correlate_strips(some, ref, 4).drop("dataset_id"), "corr")
 
