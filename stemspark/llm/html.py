@@ -13,11 +13,13 @@ can't tell (reader comments, adverts, notices), and at the names of its nearest
 says to a block's disfavour counts by the share of the page's words that it does not hold, so that a name around the whole text
 says nothing.
 
-Both are trained on a bounded sample of the pages (TRAIN_PAGES of different html, the ids with the least hashes) by ridge
-regression of one strength around documented weights, which also stand alone where there are no labels of both kinds. The text
-learns from weak labels and sees no marks: blocks in article or main are content; blocks in nav or footer, and ones that REPEATED pages
-of the sample or more hold, are boilerplate. The marks learn from what the cut makes of the text alone, but for the boxes of
-telling names.
+Both are fitted to all pages (of equal html once) by ridge regression around documented weights, which also stand alone where
+there are no labels of both kinds; the ridge is that of EVIDENCE pages and grows with more. The text learns from weak labels and
+sees no marks: blocks in article or main are content; blocks in nav or footer, and ones that REPEATED pages of the whole table or
+more hold, are boilerplate. The marks learn from what the cut makes of the text alone, but for the boxes of telling names.
+
+A page is parsed once. What blocks say without the other pages (FACTS, marks, keys) is written with the text; repetition is
+counted over all keys, Newton's sums are added up over all blocks in a few rounds, and the last step labels what was written.
 
 Names on html, body, main and headings say nothing; an inner article or main ends what the elements around it say.
 
@@ -33,18 +35,32 @@ from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
+from itertools import chain
 from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import long_id
+from .skew import spread_join
+from .store import Scratch, fresh, long_id
 
-TRAIN_PAGES = 500
+#: As many pages are weighed as the ridge is for; of more, each counts for less.
+EVIDENCE = 500
 REPEATED = 3
+#: Up to this many keys of repeated blocks go to tasks as one sorted array; more are joined.
+HELD = 1 << 21
+#: How many blocks a task looks at together.
+BLOCKS = 1 << 14
+#: What a block says without the other pages: counts of words, of those in links, of those that end in punctuation, of letters
+#: and of different words, and of these the ones elsewhere in the page and in its title; whether it ends a sentence or has signs
+#: of menus, words under its parent, heading, item; its labels as bits (in article or main and no boilerplate, labels
+#: boilerplate, in article or main); how far its common ancestor with the block before lies above both, and how many blocks
+#: ago the last one under its parent was (0: none).
+FACTS = ("words", "linked", "punctuation", "letters", "ends", "signs", "distinct", "shared", "title", "own", "heading", "item", "told", "apart", "sibling")
 #: What the text looks at and the weights that training starts from.
 TEXT = {
     "constant": -3.5, "words": 0.7, "links": -5.0, "punctuation": 2.0, "word_length": 0.0, "ends": 1.0, "signs": -2.5, "shared": 1.0, "title": 2.0,
@@ -212,7 +228,11 @@ def parsed(html: str) -> Page:
 
 def key(words: list[str]) -> int:
     """A block's text as a number of 63 bits."""
-    return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
+    return _key(" ".join(words))
+
+
+def _key(line: str) -> int:
+    return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
 
 
 def _held(page: Page, sizes: np.ndarray) -> np.ndarray:
@@ -225,41 +245,80 @@ def _held(page: Page, sizes: np.ndarray) -> np.ndarray:
     return np.array(total) / max(1, sizes.sum())
 
 
-def text_features(page: Page, repeated: dict[int, int] | frozenset[int]) -> np.ndarray:
-    """A row a block, in the order of TEXT. repeated: the keys of blocks that several pages hold."""
+_PUNCTUATED = re.compile("[.,;:!?](?: |$)")
+_SIGNS = re.compile("[\u00a9|\u00bb\u203a\u00b7]")
+
+
+def facts(page: Page) -> tuple[np.ndarray, list[str], list[int]]:
+    """A row a block, in the order of FACTS, the texts of blocks and their keys."""
     found = page.blocks
-    n = len(found)
-    sizes = np.array([len(b.words) for b in found], float)
-    low = [{w.lower() for w in b.words} for b in found]
-    pages = Counter(w for s in low for w in s)
+    lines = [" ".join(b.words) for b in found]
+    low = [set(line.lower().split(" ")) for line in lines]
+    times = Counter(chain.from_iterable(low))
+    shared = {w for w, n in times.items() if n > 1}
     own = Counter()
-    for b, size in zip(found, sizes, strict=True):
-        own[page.parent[b.at]] += size
-    before = (np.cumsum(sizes) - sizes / 2) / sizes.sum() if n else sizes
-    log = np.log1p(sizes)
-    wide = np.pad(log, 1)
-    out = np.ones((n, len(TEXT)))
-    for k, b in enumerate(found):
-        size = sizes[k]
-        out[k, 1:] = (
-            log[k],
-            b.linked / size,
-            sum(w[-1] in ".,;:!?" for w in b.words) / size,
-            sum(map(len, b.words)) / size / 10,
-            b.words[-1][-1] in ".!?",
-            any(c in "\u00a9|\u00bb\u203a\u00b7" for w in b.words[:8] for c in w),
-            sum(pages[w] > 1 for w in low[k]) / len(low[k]),
-            sum(w in page.title for w in low[k]) / len(low[k]),
-            key(b.words) in repeated,
-            abs(2 * before[k] - 1),
-            own[page.parent[b.at]] / sizes.sum(),
-            (wide[k] + wide[k + 2]) / 2,
+    for b in found:
+        own[page.parent[b.at]] += len(b.words)
+    out, last = [], {}
+    for k, (b, line, words) in enumerate(zip(found, lines, low, strict=True)):
+        parent, n = page.parent[b.at], len(b.words)
+        out.append((
+            n,
+            b.linked,
+            len(_PUNCTUATED.findall(line)),
+            len(line) - n + 1,
+            line[-1] in ".!?",
+            _SIGNS.search(" ".join(b.words[:8])) is not None,
+            len(words),
+            len(words & shared),
+            len(words & page.title),
+            own[parent],
             page.tag[b.at] in HEADINGS,
             page.tag[b.at] in ITEMS,
-        )
+            (b.main > 0 and not b.bad) + 2 * b.labels + 4 * (b.main > 0),
+            _apart(page, found[k - 1].at, b.at) if k else 0,
+            k - last.get(parent, k),
+        ))
+        last[parent] = k
+    return np.array(out, np.int32).reshape(-1, len(FACTS)), lines, list(map(_key, lines))
+
+
+def features(told: np.ndarray, sizes: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Rows in the order of TEXT from rows of FACTS, of pages of so many blocks each, and whether their texts are repeated."""
+    f = dict(zip(FACTS, told.T.astype(float), strict=True))
+    words, page = f["words"], np.repeat(np.arange(len(sizes)), sizes)
+    total = np.bincount(page, words, len(sizes))
+    before = np.cumsum(words) - words / 2 - (np.cumsum(total) - total)[page]
+    log = np.log1p(words)
+    wide, edge = np.pad(log, 1), np.concatenate([[True], page[1:] != page[:-1], [True]]) if len(page) else np.ones(2, bool)
+    out = np.ones((len(told), len(TEXT)))
+    columns = (
+        log,
+        f["linked"] / words,
+        f["punctuation"] / words,
+        f["letters"] / words / 10,
+        f["ends"],
+        f["signs"],
+        f["shared"] / f["distinct"],
+        f["title"] / f["distinct"],
+        repeated,
+        np.abs(2 * (before / total[page]) - 1),
+        f["own"] / total[page],
+        (np.where(edge[:-1], 0, wide[:-2]) + np.where(edge[1:], 0, wide[2:])) / 2,
+        f["heading"],
+        f["item"],
+    )
+    for k, column in enumerate(columns):
+        out[:, k + 1] = column
     return out
 
 
+def text_features(page: Page, repeated: dict[int, int] | frozenset[int]) -> np.ndarray:
+    """A row a block, in the order of TEXT. repeated: the keys of blocks that several pages hold."""
+    told, _, keys = facts(page)
+    return features(told, np.array([len(told)]), np.array([k in repeated for k in keys], bool))
+
+
 def mark_features(page: Page) -> np.ndarray:
     """A row a block, in the order of MARKS."""
     sizes = np.array([len(b.words) for b in page.blocks], float)
@@ -284,7 +343,7 @@ def mark_features(page: Page) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """Weights of the text and of the marks, and the keys of blocks that several pages of the sample hold."""
+    """Weights of the text and of the marks, and the keys of blocks that several pages hold."""
 
     text: np.ndarray
     marks: np.ndarray
@@ -294,15 +353,21 @@ class Model(NamedTuple):
 PRIOR = Model(np.array(list(TEXT.values())), np.array(list(MARKS.values())), frozenset())
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic regression with a ridge around prior weights, by Newton's method."""
-    w = prior.copy()
+def moments(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the logistic likelihood at weights w: sums over rows."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def fit(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], prior: np.ndarray, share: float = 1.0, start: np.ndarray | None = None, rounds: int = 30, within: float = 1e-6) -> np.ndarray:
+    """Weights of a logistic regression with a ridge around prior weights, by Newton's method; sums are moments over all rows,
+    each of which counts for a share."""
+    w = prior.copy() if start is None else start.copy()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - RIDGE * (w - prior))
+        slope, curve = sums(w)
+        step = np.linalg.solve(share * curve + RIDGE * np.eye(len(w)), share * slope - RIDGE * (w - prior))
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < within:
             break
     return w
 
@@ -406,30 +471,42 @@ def _flow(nodes: list[int], gain: list[float], around: list[dict[int, float]], s
                 break
 
 
-def smoothness(page: Page) -> list[tuple[int, int, float]]:
-    """Edges between neighbours in the page, and between blocks that follow each other under one parent. The way from a
-    block to the next over their common ancestor is no longer than the markup between them."""
-    edges, last = [], {}
-    for k, b in enumerate(page.blocks):
+def _apart(page: Page, one: int, two: int) -> int:
+    """How far the common ancestor of two elements lies above the deeper one, but for the first step."""
+    deepest = max(page.depth[one], page.depth[two])
+    while one != two:
+        if page.depth[one] >= page.depth[two]:
+            one = page.parent[one]
+        else:
+            two = page.parent[two]
+    return min(700, max(0, deepest - page.depth[one] - 1))
+
+
+def edges(apart: list[int], sibling: list[int]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours in the page, and between blocks that follow each other under one parent."""
+    out = []
+    for k, (far, ago) in enumerate(zip(apart, sibling, strict=True)):
         if k:
-            one, two = page.blocks[k - 1].at, b.at
-            deepest = max(page.depth[one], page.depth[two])
-            while one != two:
-                if page.depth[one] >= page.depth[two]:
-                    one = page.parent[one]
-                else:
-                    two = page.parent[two]
-            edges.append((k - 1, k, NEAR / DEEPER ** min(700, max(0, deepest - page.depth[one] - 1))))
-        parent = page.parent[b.at]
-        if parent in last:
-            edges.append((last[parent], k, SIBLING))
-        last[parent] = k
-    return edges
+            out.append((k - 1, k, NEAR / DEEPER**far))
+        if ago:
+            out.append((k - ago, k, SIBLING))
+    return out
+
+
+def smoothness(page: Page) -> list[tuple[int, int, float]]:
+    """The edges of a page. The way from a block to the next over their common ancestor is no longer than the markup between
+    them."""
+    told = facts(page)[0]
+    return edges(told[:, FACTS.index("apart")].tolist(), told[:, FACTS.index("sibling")].tolist())
+
+
+def cut(score: np.ndarray, between: list[tuple[int, int, float]]) -> np.ndarray:
+    """Which blocks are content: the least cut by the costs of calling each the other."""
+    return minimum_cut(np.logaddexp(0, score), np.logaddexp(0, -score), between)
 
 
 def labelled(page: Page, score: np.ndarray) -> np.ndarray:
-    """Which blocks of a page are content: the least cut by the costs of calling each the other."""
-    return minimum_cut(np.logaddexp(0, score), np.logaddexp(0, -score), smoothness(page))
+    return cut(score, smoothness(page))
 
 
 def content(page: Page, model: Model = PRIOR) -> np.ndarray:
@@ -441,46 +518,194 @@ def main_text(html: str | None, model: Model = PRIOR) -> str:
     return " ".join(" ".join(b.words) for b, k in zip(page.blocks, content(page, model).tolist(), strict=True) if k)
 
 
+class Digest(NamedTuple):
+    """Some pages: rows of FACTS and MARKS, how many blocks each has, keys, and whether their texts are repeated."""
+
+    facts: np.ndarray
+    marks: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    repeated: np.ndarray
+
+    def text(self) -> np.ndarray:
+        return features(self.facts, self.sizes, self.repeated)
+
+    def told(self) -> np.ndarray:
+        """Weak labels: 1 content, 0 boilerplate, -1 unknown."""
+        bits = self.facts[:, FACTS.index("told")]
+        return np.where(bits & 1, 1, np.where((bits & 2 > 0) | (bits & 4 == 0) & self.repeated, 0, -1))
+
+    def cuts(self, score: np.ndarray) -> list[np.ndarray]:
+        """Which blocks of each page are content."""
+        apart, sibling = (self.facts[:, FACTS.index(c)].tolist() for c in ("apart", "sibling"))
+        ends = np.cumsum(self.sizes).tolist()
+        return [cut(score[e - n : e], edges(apart[e - n : e], sibling[e - n : e])) if n else np.zeros(0, bool) for e, n in zip(ends, self.sizes.tolist(), strict=True)]
+
+    def text_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        told = self.told()
+        return self.text()[told >= 0], told[told >= 0].astype(float)
+
+    def mark_rows(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        said = np.concatenate([np.zeros(0, bool), *self.cuts(np.clip(self.text() @ text, -CLIP, CLIP))])
+        plain = self.marks[:, 3] == 0
+        return self.marks[plain], said[plain].astype(float)
+
+
 def learned(htmls: list[str]) -> Model:
     """A model from some pages."""
     pages = [p for p in map(parsed, dict.fromkeys(htmls)) if p.blocks]
-    times = Counter(k for page in pages for k in {key(b.words) for b in page.blocks})
-    repeated = frozenset(k for k, n in times.items() if n >= REPEATED)
-    x, y = [text_features(page, repeated) for page in pages], []
-    for page in pages:
-        y.append([1 if b.main and not b.bad else 0 if b.labels or not b.main and key(b.words) in repeated else -1 for b in page.blocks])
-    text = PRIOR.text
-    if pages:
-        sure = np.concatenate(y) >= 0
-        told = np.concatenate(y)[sure].astype(float)
-        if 0 < told.sum() < len(told):
-            text = fit(np.concatenate(x)[sure], told, PRIOR.text)
-    marks, seen, said = [mark_features(page) for page in pages], [], []
-    for page, features, mark in zip(pages, x, marks, strict=True):
-        plain = mark[:, 3] == 0
-        seen.append(mark[plain])
-        said.append(labelled(page, np.clip(features @ text, -CLIP, CLIP))[plain])
-    return Model(text, fit(np.concatenate(seen), np.concatenate(said).astype(float), PRIOR.marks) if pages else PRIOR.marks, repeated)
-
-
-_MODEL = "text array<double>, marks array<double>, repeated array<long>"
-
-
-def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = learned([h for batch in batches for h in batch.column(0).to_pylist() if h])
-    columns = [pa.array([m.tolist()], pa.list_(pa.float64())) for m in model[:2]] + [pa.array([sorted(model.repeated)], pa.list_(pa.int64()))]
-    yield pa.RecordBatch.from_arrays(columns, names=["text", "marks", "repeated"])
-
-
-def train(pages: DataFrame) -> Model:
-    """A model from a bounded sample of pages."""
-    ids = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES)
-    chosen = [r[0] for r in ids.collect()]  # TRAIN_PAGES at most
-    if not chosen:
+    if not pages:
         return PRIOR
-    sample = pages.where(F.col("page_id").isin(chosen)).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(TRAIN_PAGES)
-    got = sample.select("html").coalesce(1).mapInArrow(_train_task, _MODEL).first()
-    return Model(np.array(got.text), np.array(got.marks), frozenset(got.repeated)) if got else PRIOR
+    told = [facts(page) for page in pages]
+    times = Counter(k for _, _, keys in told for k in set(keys))
+    repeated = frozenset(k for k, n in times.items() if n >= REPEATED)
+    keys = [k for _, _, keys in told for k in keys]
+    digest = Digest(np.concatenate([t for t, _, _ in told]), np.concatenate(list(map(mark_features, pages))), np.array([len(t) for t, _, _ in told]), np.array(keys), np.array([k in repeated for k in keys]))
+    share = min(1.0, EVIDENCE / len(pages))
+    x, y = digest.text_rows()
+    text = fit(lambda w: moments(x, y, w), PRIOR.text, share) if 0 < y.sum() < len(y) else PRIOR.text
+    u, v = digest.mark_rows(text)
+    return Model(text, fit(lambda w: moments(u, v, w), PRIOR.marks, share), repeated)
+
+
+_DIGEST = "page_id long, url string, same long, text string, facts binary, keys array<long>, marks binary, places binary"
+
+
+def _digest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, same, html to pages as text (blocks joined by spaces) and what it says without the other pages."""
+    for batch in batches:
+        rows = []
+        for html in batch.column(3).to_pylist():
+            page = parsed(html or "")
+            told, lines, keys = facts(page)
+            marks = mark_features(page).ravel()
+            places = np.flatnonzero(marks)
+            rows.append((" ".join(lines), told.T.tobytes(), keys, marks[places].tobytes(), places.astype(np.int32).tobytes()))
+        kinds = (pa.string(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["page_id", "url", "same", "text", "facts", "keys", "marks", "places"])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch by runs of pages of about BLOCKS blocks, so that memory doesn't grow with the pages of a batch."""
+    run = np.cumsum(pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False)) // BLOCKS
+    ends = [*np.flatnonzero(run[1:] != run[:-1]) + 1, batch.num_rows]
+    for a, b in zip([0, *ends], ends):
+        yield batch.slice(a, b - a)
+
+
+def _loaded(batch: pa.RecordBatch, held: np.ndarray | None) -> Digest:
+    """A digest of rows as _digest_task writes them. held: sorted keys of repeated blocks; without it the column `repeated`
+    tells the places of a page's repeated blocks."""
+    column = {n: batch.column(n) for n in batch.schema.names}
+    keys = column["keys"].flatten().to_numpy(zero_copy_only=False)
+    blobs = column["facts"].to_pylist()
+    told = [np.frombuffer(b, np.int32).reshape(len(FACTS), -1).T for b in blobs]
+    sizes = np.array([len(t) for t in told], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    marks = np.zeros((len(keys), len(MARKS)))
+    for start, values, places in zip(starts.tolist(), column["marks"].to_pylist(), column["places"].to_pylist(), strict=True):
+        marks.ravel()[np.frombuffer(places, np.int32) + start * len(MARKS)] = np.frombuffer(values)
+    repeated = np.zeros(len(keys), bool)
+    if held is None:
+        for start, places in zip(starts.tolist(), column["repeated"].to_pylist(), strict=True):
+            repeated[[start + p for p in places or ()]] = True
+    elif len(held):
+        repeated = held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+    return Digest(np.concatenate([np.zeros((0, len(FACTS)), np.int32), *told]), marks, sizes, keys, repeated)
+
+
+def _sums_task(rows: Callable[[Digest], tuple[np.ndarray, np.ndarray]], held: np.ndarray | None, w: np.ndarray) -> Callable:
+    """Pages to one sum a place: rows, labels of content, slope and curvature at w."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + len(w) + len(w) ** 2)
+        for batch in chain.from_iterable(map(_slices, batches)):
+            x, y = rows(_loaded(batch, held))
+            slope, curve = moments(x, y, w)
+            total += np.concatenate([[len(y), y.sum()], slope, curve.ravel()])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
+
+    return task
+
+
+def _summed(pages: DataFrame, rows: Callable, held: np.ndarray | None, w: np.ndarray) -> np.ndarray:
+    out = np.zeros(2 + len(w) + len(w) ** 2)
+    sums = pages.mapInArrow(_sums_task(rows, held, w), "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    for r in sums.collect():  # as many as numbers in out, at most
+        out[r.at] = r.value
+    return out
+
+
+def _fitted(pages: DataFrame, few: DataFrame, rows: Callable, held: np.ndarray | None, prior: np.ndarray, n: int) -> np.ndarray:
+    """Weights from all pages (n). Newton's method starts from the weights of a few of them, which saves rounds over all."""
+    size, shares = len(prior), {}
+
+    def over(some: DataFrame) -> Callable:
+        def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            got = _summed(some, rows, held, w)
+            shares["rows"], shares["content"] = got[:2]
+            return got[2 : 2 + size], got[2 + size :].reshape(size, size)
+
+        return sums
+
+    share = min(1.0, EVIDENCE / n)
+    start = fit(over(few), prior, within=1e-3) if share < 1 else prior
+    out = fit(over(pages), prior, share, start, within=1e-4)  # a step of Newton's leaves the square of it
+    return out if 0 < shares["content"] < shares["rows"] else prior
+
+
+def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with `repeated`, the places of blocks whose keys are among some."""
+    blocks = rows.select("row", F.posexplode("keys").alias("place", "key"))
+    found = spread_join(blocks, keys, ["key"]).groupBy("row").agg(F.collect_list("place").alias("repeated"))
+    return rows.join(found, "row", "left")
+
+
+def _learn(digests: DataFrame, scratch: Scratch) -> tuple[Model, np.ndarray | None, DataFrame | None]:
+    """A model of all pages, without keys. Those of repeated blocks come sorted; where they are more than HELD, as a table."""
+    seen = digests.where(F.size("keys") > 0).select("row", "same", "facts", "keys", "marks", "places")
+    copies = scratch.kept(seen.groupBy("same").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    if not copies.isEmpty():
+        later = spread_join(seen.select("row", "same"), copies.select("same", "first"), ["same"]).where("row <> first").select("row")
+        seen = scratch.kept(seen.join(later, "row", "left_anti"), "seen")
+    n = seen.count()
+    if not n:
+        return PRIOR, np.zeros(0, np.int64), None
+    times = seen.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = scratch.kept(times.where(F.col("n") >= REPEATED).select("key"), "repeated")
+    held = None
+    if keys.count() <= HELD:
+        held, keys = np.sort(keys.toArrow().column(0).to_numpy()), None
+    else:
+        seen = scratch.kept(_flagged(seen, keys), "flagged")
+    few = seen.where(F.pmod("same", F.lit(-(-n // EVIDENCE))) == 0)
+    text = _fitted(seen, few, Digest.text_rows, held, PRIOR.text, n)
+    marks = _fitted(seen, few, lambda digest: digest.mark_rows(text), held, PRIOR.marks, n)
+    return Model(text, marks, frozenset()), held, keys
+
+
+def _label_task(model: Model, held: np.ndarray | None) -> Callable:
+    """Digests to their main text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(map(_slices, batches)):
+            digest = _loaded(batch, held)
+            score = np.clip(digest.text() @ model.text, -CLIP, CLIP) + np.clip(digest.marks @ model.marks, -CLIP, CLIP)
+            ends = np.cumsum(digest.facts[:, FACTS.index("words")] + digest.facts[:, FACTS.index("letters")], dtype=np.int64).tolist()
+            texts, k = [], 0
+            for text, side in zip(batch.column("text").to_pylist(), digest.cuts(score), strict=True):
+                first = ends[k - 1] if k else 0
+                cuts = [0, *(e - first for e in ends[k : k + len(side)])]
+                texts.append(" ".join(text[a : b - 1] for a, b, c in zip(cuts, cuts[1:], side.tolist()) if c))
+                k += len(side)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return task
+
+
+_MAIN = "page_id long, url string, text string, n_chars long"
 
 
 def _extract_task(model: Model) -> Callable:
@@ -493,7 +718,18 @@ def _extract_task(model: Model) -> Callable:
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
-    model = train(pages) if model is None else model
+    """page_id, url, text, n_chars of each row of pages (page_id, url, html). Without a model, one of all these pages."""
     rows = pages.select(long_id(pages, "page_id"), F.col("url").cast("string"), "html")
-    return rows.mapInArrow(_extract_task(model), "page_id long, url string, text string, n_chars long")
+    if model is not None:
+        return rows.mapInArrow(_extract_task(model), _MAIN)
+    spark = pages.sparkSession
+    path = fresh(spark, "pages")
+    written = rows.select("page_id", "url", F.xxhash64("html").alias("same"), "html").mapInArrow(_digest_task, _DIGEST)
+    written.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    digests = spark.read.schema(_DIGEST + ", row long").parquet(path)
+    scratch = Scratch(spark, "html")
+    model, held, keys = _learn(digests, scratch)
+    if keys is not None:
+        return _flagged(digests, keys).mapInArrow(_label_task(model, None), _MAIN)  # reads scratch; it goes with the process
+    scratch.drop()
+    return digests.mapInArrow(_label_task(model, held), _MAIN)
