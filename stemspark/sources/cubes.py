@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,9 @@ def codec_study(frames: DataFrame, folder: str, codecs: tuple[str, ...] = ("none
     each of three reads (one frame, the image of one detector pixel, a region of a quarter of the scan) the seconds that it took
     and the sum that it found: frame_s, frame_sum, pixel_s, pixel_sum, region_s, region_sum.
 
-    Layouts are frames, voxels, and tiles of the shapes that `budget` gives for each pattern of reads."""
+    Layouts are frames, voxels, and tiles of the shapes that `budget` gives for each pattern of reads. Tiles of a shape are made
+    once, on the executors' disks, for all codecs: write_s is that of sorting and writing them. Frames that come in fewer
+    partitions than there are cores are dealt by place over all of them before voxels or tiles are made."""
     spark = frames.sparkSession
     size = frames.agg(F.sum(2 * F.size("counts")).alias("raw"), *((F.max(c) + 1).alias(c) for c in ("scan_y", "scan_x")), F.max("det_h").alias("det_h"), F.max("det_w").alias("det_w")).first()
     if not size.raw:
@@ -165,23 +168,32 @@ def codec_study(frames: DataFrame, folder: str, codecs: tuple[str, ...] = ("none
     extents = (size.scan_y, size.scan_x, size.det_h, size.det_w)
     h, w, dh, dw = extents
     reads = {"frame": ((0, 1, 0, 1), None), "pixel": (None, (dh // 2, dh // 2 + 1, dw // 2, dw // 2 + 1)), "region": ((0, -(-h // 2), 0, -(-w // 2)), None)}
+    cores, dealt = spark.sparkContext.defaultParallelism, frames
+    if frames.rdd.getNumPartitions() < cores:
+        dealt = frames.repartitionByRange(cores, "dataset_id", "scan_y", "scan_x")
+    dealt = dealt.persist(StorageLevel.DISK_ONLY)
     rows = []
     for layout in ("frame", "voxel", *(f"tile_{p}" for p in tiles.PATTERNS)):
+        if layout.startswith("tile_"):
+            made = tiles.to_tiles(dealt, tiles.tile_shape(extents, layout.removeprefix("tile_"), budget)).persist(StorageLevel.DISK_ONLY)
+            made.count()
+            table = tiles.in_order(made)
+        else:
+            made, table = None, frames if layout == "frame" else explode_voxels(dealt)
         for codec in codecs:
             path, began = f"{folder}/{layout}-{codec}", time.time()
-            if layout in ("frame", "voxel"):
-                table = frames if layout == "frame" else explode_voxels(frames)
-                table.write.mode("overwrite").option("compression", codec).parquet(path)
-            else:
-                tiles.write_tiles(frames, path, tiles.tile_shape(extents, layout.removeprefix("tile_"), budget), codec)
+            table.write.mode("overwrite").option("compression", codec).parquet(path)
             found = [time.time() - began]
             for scan, det in reads.values():
                 began = time.time()
-                got = tiles.read_tiles(spark, path, None, scan, det) if layout.startswith("tile_") else _some_voxels(spark.read.parquet(path), layout, scan, det)
+                got = tiles.read_tiles(spark, path, None, scan, det) if made is not None else _some_voxels(spark.read.parquet(path), layout, scan, det)
                 total = got.agg(F.sum("count")).first()[0]
                 found += [time.time() - began, int(total or 0)]
             bytes_ = _file_bytes(spark, path)
             rows.append((codec, layout, bytes_, size.raw, size.raw / bytes_, *found))
+        if made is not None:
+            made.unpersist()
+    dealt.unpersist()
     return spark.createDataFrame(rows, _STUDY)
 
 

@@ -92,10 +92,15 @@ def to_tiles(frames: DataFrame, shape: Extents) -> DataFrame:
     return parts.groupBy("dataset_id", *(f"{a}0" for a in AXES)).applyInArrow(join, TILES)
 
 
-def write_tiles(frames: DataFrame, path: str, shape: Extents, codec: str = "zstd") -> None:
-    """Tiles as Parquet, sorted by data set and place over the whole table."""
+def in_order(tiles: DataFrame) -> DataFrame:
+    """Tiles sorted by data set and place over the whole table."""
     by = ["dataset_id", *(f"{a}0" for a in AXES)]
-    to_tiles(frames, shape).repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", codec).parquet(path)
+    return tiles.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def write_tiles(frames: DataFrame, path: str, shape: Extents, codec: str = "zstd") -> None:
+    """Tiles as Parquet, in order."""
+    in_order(to_tiles(frames, shape)).write.mode("overwrite").option("compression", codec).parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str, dataset_id: str | None = None, scan: Extents | None = None, det: Extents | None = None) -> DataFrame:
@@ -105,11 +110,10 @@ def read_tiles(spark: SparkSession, path: str, dataset_id: str | None = None, sc
     tiles = tiles.where(F.col("dataset_id") == dataset_id) if dataset_id is not None else tiles
     box: dict[str, tuple[int, int]] = {}
     for names, limits in ((AXES[:2], scan), (AXES[2:], det)):
-        for k, a in enumerate(names if limits else ()):
-            lo, hi = limits[2 * k : 2 * k + 2]
-            box[a] = (lo, hi)
-            longest = spark.read.parquet(path).agg(F.max(f"{a}n")).first()[0] or 0  # from the footers
-            tiles = tiles.where((F.col(f"{a}0") < hi) & (F.col(f"{a}0") > lo - longest) & (F.col(f"{a}0") + F.col(f"{a}n") > lo))
+        box |= {a: limits[2 * k : 2 * k + 2] for k, a in enumerate(names if limits else ())}
+    longest = spark.read.parquet(path).agg(*(F.max(f"{a}n").alias(a) for a in box)).first() if box else {}
+    for a, (lo, hi) in box.items():
+        tiles = tiles.where((F.col(f"{a}0") < hi) & (F.col(f"{a}0") > lo - (longest[a] or 0)) & (F.col(f"{a}0") + F.col(f"{a}n") > lo))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
